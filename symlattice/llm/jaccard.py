@@ -65,10 +65,24 @@ def shingle_sets(text: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]
         yield at, np.concatenate(sets) if sets else key, np.cumsum(sizes)
 
 
-def class_key(part: np.ndarray) -> int:
-    """One number for equal sets: a polynomial over the sorted elements."""
-    total = np.sum(W.mix(part) * W.powers(W.BASE, len(part)), dtype=np.uint64) + np.uint64(len(part))
-    return int(W.mix(np.array([total]))[0].view(np.int64))
+def class_keys(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """One number for each set, the same for equal ones: a polynomial over the sorted elements."""
+    size = np.diff(bounds)
+    out = np.zeros(len(size), np.uint64)
+    full = np.flatnonzero(size > 0)
+    if len(full):
+        rank = np.arange(len(values)) - np.repeat(bounds[:-1], size)
+        terms = W.mix(values) * W.powers(W.BASE, int(size.max()))[rank]
+        out[full] = W.mix(np.add.reduceat(terms, bounds[full]) + size[full].astype(np.uint64))
+    return out.view(np.int64)
+
+
+_ZERO = np.zeros(1, np.int64)
+
+
+def element_hashes(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two hashes that signatures() takes."""
+    return (W.mix(values + np.uint64(0x2545F4914F6CDD1D)) >> np.uint64(32)).astype(np.int64), W.mix(values)
 
 
 def band_of(size: int) -> int:
@@ -91,8 +105,12 @@ def prefix(values: np.ndarray, heavy: np.ndarray, n: int) -> tuple[np.ndarray, n
     return values, heavy
 
 
-def signatures(part: np.ndarray, heavy: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(signatures, whether each is widespread) of one set; heavy: whether each element is."""
+def signatures(part: np.ndarray, heavy: np.ndarray, spread: np.ndarray, inner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(signatures, whether each is widespread) of one set.
+
+    heavy: whether each element is widespread; spread and inner: two hashes of each
+    element, by which it is dealt to partitions and by which it counts there.
+    """
     size, out = len(part), []
     most = 4 * size // 3  # the largest set that can be similar
     own = band_of(size)
@@ -101,12 +119,13 @@ def signatures(part: np.ndarray, heavy: np.ndarray) -> tuple[np.ndarray, np.ndar
         k = (size + largest) // 7
         n = partitions(band)
         if n:
-            place = (W.mix(part + np.uint64(band)) >> np.uint64(32)).astype(np.int64) * n >> 32
+            place = spread * n >> 32
             order = np.argsort(place, kind="stable")
-            edge = np.flatnonzero(np.r_[True, np.diff(place[order]) != 0])
-            sums = np.add.reduceat(W.mix(part[order]), edge)
+            dealt = place[order]
+            edge = np.concatenate([_ZERO, np.flatnonzero(dealt[1:] != dealt[:-1]) + 1])
+            sums = np.add.reduceat(inner[order], edge)
             common = np.logical_and.reduceat(heavy[order], edge)
-            values = W.mix(sums + place[order][edge].astype(np.uint64) * np.uint64(0x9FB21C651E98DF25) + np.uint64(band))
+            values = W.mix(sums + dealt[edge].astype(np.uint64) * np.uint64(0x9FB21C651E98DF25) + np.uint64(band))
             out.append(prefix(values, common, k + 1))
         if not n or len(values) <= k:
             values = W.mix(part ^ np.uint64(0x5851F42D4C957F2D + band))
@@ -131,17 +150,16 @@ def _describe(docs: DataFrame) -> DataFrame:
         for b in batches:
             ids, n, keys = b["doc_id"], np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64)
             for at, values, bounds in shingle_sets(b["text"]):
-                for d in range(len(bounds) - 1):
-                    part = values[bounds[d] : bounds[d + 1]]
-                    n[at + d] = len(part)
-                    if len(part):
-                        key = keys[at + d] = class_key(part)
-                        if key not in seen:
-                            seen.add(key)
-                            held.append(part)
-                            size += len(part)
-                            if size > COUNTED:
-                                yield counted()
+                upto = at + len(bounds) - 1
+                n[at:upto] = np.diff(bounds)
+                keys[at:upto] = class_keys(values, bounds)
+                for d, key in enumerate(keys[at:upto].tolist()):
+                    if bounds[d] < bounds[d + 1] and key not in seen:
+                        seen.add(key)
+                        held.append(values[bounds[d] : bounds[d + 1]])
+                        size += len(held[-1])
+                        if size > COUNTED:
+                            yield counted()
             yield pa.RecordBatch.from_pydict({"doc_id": ids, "n": pa.array(n), "class": pa.array(keys, mask=n == 0), "count": pa.nulls(len(n), pa.int64())})
         yield counted()
 
@@ -172,12 +190,13 @@ def _blobs(docs: DataFrame, heavy: np.ndarray, buckets: int) -> DataFrame:
             for _, values, bounds in shingle_sets(b["text"]):
                 at = np.minimum(np.searchsorted(common, values), max(0, len(common) - 1))
                 wide = common[at] == values if len(common) else np.zeros(len(values), bool)
-                for d in range(len(bounds) - 1):
-                    part = values[bounds[d] : bounds[d + 1]]
-                    if not len(part) or (key := class_key(part)) in seen:
+                spread, inner = element_hashes(values)
+                for d, key in enumerate(class_keys(values, bounds).tolist()):
+                    own = slice(bounds[d], bounds[d + 1])
+                    if own.start == own.stop or key in seen:
                         continue
                     seen.add(key)
-                    sig, common_sig = signatures(part, wide[bounds[d] : bounds[d + 1]])
+                    sig, common_sig = signatures(values[own], wide[own], spread[own], inner[own])
                     held.append((sig, np.full(len(sig), key, np.int64), common_sig))
                     size += len(sig)
                     if size > FLUSH:
@@ -219,9 +238,10 @@ def _sets(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for _, values, bounds in shingle_sets(b["text"]):
-                parts = [values[bounds[d] : bounds[d + 1]] for d in range(len(bounds) - 1)]
-                parts = [p for p in parts if len(p)]
-                yield pa.RecordBatch.from_pydict({"class": pa.array([class_key(p) for p in parts], pa.int64()), "items": pa.array([p.view(np.int64) for p in parts], pa.list_(pa.int64()))})
+                full = np.flatnonzero(np.diff(bounds) > 0)
+                ends = np.r_[bounds[full], len(values)] if len(full) else np.zeros(1, np.int64)
+                items = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values.view(np.int64)))
+                yield pa.RecordBatch.from_pydict({"class": pa.array(class_keys(values, bounds)[full]), "items": items})
 
     return docs.mapInArrow(run, "class long, items array<bigint>")
 

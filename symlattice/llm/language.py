@@ -25,7 +25,7 @@ from . import words as W
 SAMPLE = 6_000  # labelled documents the model is learned from, at most
 BITS = 15
 FEATURES = 1 << BITS
-ORDERS = (1, 2, 3, 4)
+ORDERS = (2, 3, 4)
 PENALTY = 6.0  # cost, in nats, of a change of language between two words
 STRANGE = -12.0  # for a language that the word's script rules out
 LANGUAGES = 200  # more labels than these are not learned: the most frequent ones are
@@ -65,7 +65,7 @@ def features(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[
 
 @dataclass
 class Model:
-    """table: FEATURES x languages of log probabilities; allowed: scripts x languages."""
+    """table: languages x FEATURES of log probabilities; allowed: scripts x languages."""
 
     languages: list[str]
     table: np.ndarray
@@ -80,10 +80,13 @@ class Model:
         pairs = np.empty(2 * len(starts), np.int64)
         pairs[::2], pairs[1::2] = starts, ends
         clip = pairs[-1] == len(buf)
-        for index, _ in features(buf, starts, ends):
-            for k in range(n):
-                value = self.table[:, k][index]
-                out[:, k] += np.add.reduceat(value, pairs[:-1] if clip else pairs)[::2]
+        index = [i for i, _ in features(buf, starts, ends)]
+        for k in range(n):
+            own = self.table[k]
+            value = own[index[0]]
+            for i in index[1:]:
+                value += own[i]
+            out[:, k] = np.add.reduceat(value, pairs[:-1] if clip else pairs)[::2]
         out /= np.sqrt(len(ORDERS) * (ends - starts))[:, None]
         script = np.maximum.reduceat(SCRIPT[buf], pairs[:-1] if clip else pairs)[::2]
         return np.where(self.allowed[script], out, out + STRANGE)
@@ -127,27 +130,56 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Model:
     share = scripts / np.maximum(scripts.sum(0), 1)
     allowed = share >= 0.002
     allowed[~allowed.any(1)] = True
-    return Model([r["lang"] for r in got], np.ascontiguousarray(table, np.float32), allowed)
+    return Model([r["lang"] for r in got], np.ascontiguousarray(table.T, np.float32), allowed)
 
 
 def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def _steady(scores: np.ndarray, first: np.ndarray, penalty: float) -> tuple[np.ndarray, np.ndarray]:
+    """(the label of greatest sum for each document, whether keeping it throughout is the best path).
+
+    A path that leaves label A for m spans pays at least m penalties.  If for every
+    other label B no run of words gains more than one penalty by B, leaving never
+    pays.  The greatest gain of a run is a running sum less its running minimum.
+    """
+    n = len(first) - 1
+    doc = np.repeat(np.arange(n), np.diff(first))
+    sums = np.stack([np.bincount(doc, scores[:, k], n) for k in range(scores.shape[1])], 1)
+    best, steady = sums.argmax(1), np.ones(n, bool)
+    own = scores[np.arange(len(scores)), best[doc]].astype(np.float64)
+    filled = np.flatnonzero(np.diff(first) > 0)
+    if not len(filled):
+        return best, steady
+    for k in range(scores.shape[1]):
+        gain = scores[:, k] - own
+        total = np.cumsum(gain)
+        before = total - gain
+        total -= before[first[filled]].repeat(np.diff(first)[filled])
+        before -= before[first[filled]].repeat(np.diff(first)[filled])
+        # Each document lies far below the one before it, so the running minimum starts anew.
+        drop = doc * (float(np.abs(total).max()) * 2 + 1)
+        least = np.minimum.accumulate(before - drop) + drop
+        steady[filled] &= np.maximum.reduceat(total - least, first[filled]) <= penalty * 0.999
+    return best, steady
+
+
 def viterbi(scores: np.ndarray, first: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
     """The best label of each word for each document; first: first word of each document, and the total.
 
-    Documents of like length run together, one step for each word.
+    Documents that one label explains best throughout are told apart beforehand; the
+    others run together by length, one step for each word.
     """
     n = np.diff(first)
-    labels = np.zeros(len(scores), np.int16)
+    label, steady = _steady(scores, first, penalty)
+    labels = label.astype(np.int16).repeat(n)
     order = np.argsort(-n, kind="stable")
-    order = order[n[order] > 0]
+    order = order[(n[order] > 0) & ~steady[order]]
     i = 0
     while i < len(order):
         longest = int(n[order[i]])
-        group = order[i : i + max(1, min(512, 2_000_000 // longest))]
-        group = group[n[group] * 2 >= longest] if longest > 64 else group
+        group = order[i : i + max(1, min(4096, 4_000_000 // longest))]
         i += len(group)
         at, size = first[group], n[group]
         best = scores[at].astype(np.float32)
@@ -193,7 +225,7 @@ def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataF
             lang, score, spans = [], [], []
             low = lowered(b["text"])
             buf, off = W.column(low)
-            for at, part, o in W.chunks(buf, off, 1 << 21):
+            for at, part, o in W.chunks(buf, off, 1 << 19):
                 s, e, first = W.split(part, o, OTHER)
                 if not k or not len(s):
                     lang += ["und"] * (len(o) - 1)

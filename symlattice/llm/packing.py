@@ -11,6 +11,8 @@ Only the last sequence can be padded.
 
 from __future__ import annotations
 
+import itertools
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,37 +21,104 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import words as W
 from .store import Scratch
 
 WINDOW = 2048
 END = 1  # id after each document
-CACHE = 400_000  # distinct words whose ids a worker keeps
-#: ASCII white space, across which the tokenizer never joins.
-SPACE = " \t\n\r\x0b\x0c"
+CACHE = 1_500_000  # distinct words whose ids a worker keeps
+PIECES = 300_000  # and pieces of words
+
+
+def _bytes() -> list[str]:
+    """The byte-level alphabet: visible Latin-1 characters stand for themselves, other bytes for those from 256 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = iter(range(256, 512))
+    return [chr(b if b in shown else next(rest)) for b in range(256)]
+
+
+BYTES = _bytes()
 
 
 class Encoder:
-    """Ids by the tokenizers library; texts are cut at ASCII white space and the ids of seen words are kept."""
+    """Ids by the tokenizers library, a word at a time: the tokenizer never joins across ASCII white space.
+
+    Words of a batch are told apart by 64-bit hashes and encoded once.  A word of
+    Western letters with signs around them needs no normaliser and goes to the
+    library's BPE model piece by piece; any other word goes to the tokenizer.
+    """
+
+    #: Signs, letters, signs: each run is one piece for the tokenizer.  Without "'" and "<", which begin longer pieces.
+    _plain = re.compile(r"([!-&(-/:;=-@\[-`{-~]*)([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:;=-@\[-`{-~]*)")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.seen: dict[str, bytes] = {}
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        parts = [t.split() if t.isascii() and not any(c in t for c in "\x1c\x1d\x1e\x1f") else [w for w in t.translate(_SPACES).split(" ") if w] for t in texts]
-        if len(self.seen) > CACHE:
-            self.seen.clear()
-        new = list({w for p in parts for w in p if w not in self.seen})
-        for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-            self.seen[w] = np.asarray(e.ids, "<u4").tobytes()
-        end = np.asarray([END], "<u4").tobytes()
-        get = self.seen.__getitem__
-        return [b"".join(map(get, p)) + end for p in parts]
-
-
-_SPACES = str.maketrans({c: " " for c in SPACE})
+        self.model = self.tokenizer.model
+        self.clear()
+
+    def clear(self) -> None:
+        self.place: dict[int, int] = {}
+        self.pieces: dict[str, list[int]] = {}
+        self.counts, self.starts, self.pool = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
+        self.size = 0
+
+    def piece(self, text: str) -> list[int]:
+        ids = self.pieces.get(text)
+        if ids is None:
+            if len(self.pieces) >= PIECES:
+                self.pieces.clear()
+            ids = self.pieces[text] = [t.id for t in self.model.tokenize(text if text.isascii() else "".join(map(BYTES.__getitem__, text.encode())))]
+        return ids
+
+    def word(self, data: bytes) -> list[int]:
+        text = data.decode()
+        m = self._plain.fullmatch(text)
+        if m:
+            if not m[2]:
+                return self.piece(text)
+            return (self.piece(m[1]) if m[1] else []) + self.piece(m[2].lower()) + (self.piece(m[3]) if m[3] else [])
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def learn(self, keys: list[int], words: list[bytes]) -> None:
+        ids = [self.word(w) for w in words]
+        n = np.fromiter(map(len, ids), np.int64, len(ids))
+        first = len(self.place)
+        self.place.update(zip(keys, range(first, first + len(keys))))
+        self.counts.append(n)
+        self.starts.append(self.size + np.cumsum(n) - n)
+        self.pool.append(np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(n.sum())))
+        self.size += int(n.sum())
+        self.counts, self.starts, self.pool = ([np.concatenate(x)] for x in (self.counts, self.starts, self.pool))
+
+    def __call__(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all documents, each closed by END; first id of each document, and the total)."""
+        s, e, first = W.split(buf, off)
+        if len(self.place) > CACHE:
+            self.clear()
+        keys, at, back = np.unique(W.hashes(buf, s, e), return_index=True, return_inverse=True)
+        known = self.place
+        new = [i for i, k in enumerate(keys.tolist()) if k not in known]
+        if new:
+            data, where = buf.tobytes(), at[new]
+            self.learn(keys[new].tolist(), [data[a:b] for a, b in zip(s[where].tolist(), e[where].tolist())])
+        row = np.fromiter(map(known.__getitem__, keys.tolist()), np.int64, len(keys))[back]
+        n = self.counts[0][row]
+        ends = np.cumsum(n)
+        source = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.starts[0][row] - (ends - n), n)
+        upto = np.r_[0, ends][first]  # ids before each document, without the closing ones
+        return np.insert(self.pool[0][source], upto[1:], np.uint32(END)), upto + np.arange(len(upto))
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """One for each worker process, so that later tasks find the words of earlier ones."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 def tokenise(docs: DataFrame, path: str, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -57,15 +126,16 @@ def tokenise(docs: DataFrame, path: str, keep: tuple[str, ...] = ()) -> DataFram
     names = ("doc_id", *(k for k in keep if k != "doc_id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, before, encode = TaskContext.get().partitionId(), 0, Encoder(path)
-        for whole in batches:
-            for i in range(0, whole.num_rows, 500):
-                b = whole.slice(i, 500)
-                ids = encode([t or "" for t in b["text"].to_pylist()])
-                n = np.array([len(x) // 4 for x in ids], np.int64)
-                at = before + np.cumsum(n) - n
-                before += int(n.sum())
-                yield pa.RecordBatch.from_pydict({c: b[c] for c in names} | {"ids": pa.array(ids, pa.binary()), "task": pa.array(np.full(len(n), task), pa.int64()), "before": pa.array(at, pa.int64()), "n": pa.array(n, pa.int64())})
+        task, before, encode = TaskContext.get().partitionId(), 0, encoder(path)
+        for b in batches:
+            for i, buf, off in W.chunks(*W.column(b["text"])):
+                ids, first = encode(buf, off)
+                n = np.diff(first)
+                places = before + first[:-1]
+                before += len(ids)
+                data = pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer((first * 4).astype(np.int64)), pa.py_buffer(ids.astype("<u4"))]).cast(pa.binary())
+                part = b.slice(i, len(n))
+                yield pa.RecordBatch.from_pydict({c: part[c] for c in names} | {"ids": data, "task": pa.array(np.full(len(n), task), pa.int64()), "before": pa.array(places, pa.int64()), "n": pa.array(n, pa.int64())})
 
     kept = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
     return docs.select(*dict.fromkeys((*names, "text"))).mapInArrow(run, f"{kept}, ids binary, task long, before long, n long")

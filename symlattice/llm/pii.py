@@ -58,7 +58,13 @@ _DOT = re.compile(r"\s{0,3}[\[({<]\s?(?:dot|DOT|Dot|\.)\s?[\])}>]\s{0,3}")
 _SPACED = re.compile(r"(?<=[A-Za-z0-9])\s{1,3}(?:(at)|(dot|punkt|punto|point))\s{1,3}(?=[A-Za-z0-9])", re.I)
 _WORDS = re.compile(r"(?<![A-Za-z])(?:(?:" + "|".join(SPELLED) + r"|[0-9]+|plus|dot|point|\+|\.)(?![A-Za-z])[\s,-]{0,3}){4,}", re.I)
 _WORD = re.compile(r"[A-Za-z]+|[0-9]+|[+.]")
-_HINTS = ("zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine")
+_FAR = re.compile("[\xa0\xad\u0250-\U0010ffff]")
+
+
+def _tokens(low: str) -> list[str]:
+    for c in "-,.;:()[]":
+        low = low.replace(c, " ")
+    return low.split()
 
 
 def luhn(digits: str) -> bool:
@@ -143,10 +149,10 @@ def _spelled(run: re.Match) -> list[tuple[int, int, str]]:
 
 def disguised(text: str) -> list[Span]:
     """Spans, in source characters, of identifiers that only the rewritten text shows."""
-    odd = not text.isascii() and _ODD.search(text)
+    odd = not text.isascii() and _FAR.search(text) and _ODD.search(text)
     low = text.lower()
     signs = ("[at" in low or "(at" in low or "{at" in low or "<at" in low or "@" in text or " at " in low) and ("dot" in low or "(." in low or "[." in low or "{." in low or "punkt" in low or "punto" in low or " point" in low or "at)" in low or "at]" in low or "[@" in low or "(@" in low)
-    words = sum(low.count(w) for w in _HINTS) > 3
+    words = sum(map(SPELLED.__contains__, _tokens(low))) > 3
     if not (odd or signs or words):
         return []
     tape = Tape(text)

@@ -31,7 +31,7 @@ WINDOW = 13
 ANCHOR = 5
 BATCHES = 3
 MOST_RUNS = 2
-BUCKETS = 64
+BUCKET = 2_000_000  # windows in a bucket of a run, about
 CHECK = 0xA24BAED4963EE407  # base of the verifying hash
 
 
@@ -101,7 +101,7 @@ def _fingerprints(docs: DataFrame, window: int, anchor: int | None) -> DataFrame
 class FingerprintIndex:
     """The runs.  Tables lie in the shared folder; drop() removes them."""
 
-    def __init__(self, spark: SparkSession, scratch: Scratch, buckets: int = BUCKETS, most_runs: int = MOST_RUNS):
+    def __init__(self, spark: SparkSession, scratch: Scratch, buckets: int, most_runs: int = MOST_RUNS):
         self.spark, self.scratch, self.buckets, self.most_runs = spark, scratch, buckets, most_runs
         self.runs: list[str] = []
 
@@ -166,14 +166,16 @@ def repeated(docs: DataFrame, scratch: Scratch, window: int = WINDOW, anchor: in
     lists = scratch.write(anchors.join(spread, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("_anchors")), "lists")
     scratch.drop("anchors")
     scratch.release()
-    bounds = lists.agg(F.percentile_approx("doc_id", [k / batches for k in range(1, batches)], 10_000)).first()[0] or [] if batches > 1 else []
-    batch = sum((F.when(F.col("doc_id") > b, 1).otherwise(0) for b in bounds), F.lit(0))
+    share = [k / batches for k in range(1, batches)] or [0.5]
+    bounds, listed = lists.agg(F.percentile_approx("doc_id", share, 10_000), F.sum(F.size("_anchors"))).first()
+    batch = sum((F.when(F.col("doc_id") > b, 1).otherwise(0) for b in (bounds or [])[: batches - 1]), F.lit(0))
     prints = _fingerprints(docs.join(lists.hint("merge"), "doc_id"), window, anchor).withColumn("batch", batch)
     prints.write.option("compression", "zstd").partitionBy("batch").parquet(scratch.path("prints"))
     prints = spark.read.schema(prints.schema).parquet(scratch.path("prints"))
     scratch.drop("lists")
     scratch.release()
-    index, hits = FingerprintIndex(spark, scratch), None
+    # An anchor stands for about five windows.
+    index, hits = FingerprintIndex(spark, scratch, max(8, 5 * (listed or 0) // (batches * BUCKET))), None
     for k in range(batches):
         part = index.add(prints.where(F.col("batch") == k).drop("batch"), f"batch{k}", last=k == batches - 1)
         hits = part if hits is None else hits.unionByName(part)
