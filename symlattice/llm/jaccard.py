@@ -38,14 +38,14 @@ SINGLE = 16  # bands below this size have single elements as partitions
 HEAVY = 200_000  # most widespread shingles that are told apart, at most
 HEAVY_LEAST = 16
 BUCKET = 1_000_000  # signatures in a bucket, about
-FLUSH = 3_000_000  # signatures a task holds before it sends them
-COUNTED = 6_000_000  # shingles a task counts at once
+FLUSH = 1_000_000  # signatures a task holds before it sends them
+COUNTED = 2_000_000  # shingles a task counts at once
 
 
 def shingle_sets(text: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(row, sorted distinct shingle hashes of the rows from there, first of each row and the total)."""
     buf, off = W.column(text)
-    for at, part, o in W.chunks(buf, off):
+    for at, part, o in W.chunks(buf, off, 1 << 21):
         part = W.LOWER[part]
         s, e, first = W.split(part, o)
         words = W.hashes(part, s, e)
@@ -314,27 +314,31 @@ def join(docs: DataFrame) -> DataFrame:
 
     def sets_of(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
-        wanted = wanted.join(sizes, "class").select(F.col("first").alias("doc_id"), F.col("class").alias("_class"))
-        texts = docs.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
-        return _sets(texts).join(wanted.select(F.col("_class").alias("class")), "class", "left_semi").dropDuplicates(["class"])
+        wanted = wanted.join(sizes, "class").select(F.col("first").alias("doc_id"))
+        # A repeated row gives its set twice and a link twice; links are made distinct later.
+        return _sets(docs.join(wanted, "doc_id", "left_semi"))
 
     sets = scratch.write(sets_of(stars), "sets")
     links = scratch.write(links_between(stars, sets), "links")
-    roots = components(links, scratch, "first")
+    scratch.drop("sets")
     scratch.release()
+    roots = components(links, scratch, "first")
 
     # Pairs of a group whose classes are still apart.
     placed = groups.join(roots, groups["class"] == roots["node"], "left").select("group", "class", F.coalesce("root", "class").alias("root"))
     apart = placed.groupBy("group").agg(F.min("root").alias("_low"), F.max("root").alias("_high"), F.count("*").alias("_n")).where("_low < _high and _n > 2").select("group")
     placed = scratch.write(placed.join(apart, "group"), "apart")
+    scratch.drop("groups")
     other = placed.select("group", F.col("class").alias("b"), F.col("root").alias("_root"))
     rest = placed.withColumnRenamed("class", "a").join(other, "group").where("a < b and root <> _root").select("a", "b")
     rest = scratch.write(sized(rest).join(stars.select("a", "b"), ["a", "b"], "left_anti"), "rest")
     if rest.take(1):
         more = scratch.write(sets_of(rest), "more")
         links = scratch.write(links.unionByName(links_between(rest, more).select("a", "b")), "all")
+        scratch.drop("more")
         roots = components(links, scratch, "second")
     named = roots.unionByName(roots.select(F.col("root").alias("node"), "root")).distinct()
+    scratch.release()
     named = sizes.join(named, sizes["class"] == named["node"], "left").select("class", "first", F.coalesce("root", "class").alias("root"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     of = scratch.write(named.join(least, "root").select("class", "component_id"), "components")

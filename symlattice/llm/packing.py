@@ -27,6 +27,7 @@ from .store import Scratch
 WINDOW = 2048
 END = 1  # id after each document
 CACHE = 1_500_000  # distinct words whose ids a worker keeps
+TASKS = 1_000_000  # totals of more tasks than these (16 bytes each) are not broadcast
 PIECES = 300_000  # and pieces of words
 
 
@@ -153,7 +154,8 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
     totals = stored.groupBy("task").agg(F.sum("n").alias("_n"))  # one row for each task of pass one
     before = F.sum("_n").over(Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1))
     bases = totals.select(F.col("task").alias("_task"), F.coalesce(before, F.lit(0)).alias("_base"))
-    placed = stored.join(bases, F.col("task") == F.col("_task")).withColumn("_at", F.col("_base") + F.col("before"))
+    small = totals.count() <= TASKS
+    placed = stored.join(F.broadcast(bases) if small else bases.hint("merge"), F.col("task") == F.col("_task")).withColumn("_at", F.col("_base") + F.col("before"))
     last = F.expr(f"(_at + n - 1) div {window}")
     cut = placed.select("doc_id", "ids", "n", "_at", F.explode(F.sequence(F.expr(f"_at div {window}"), last)).alias("sequence_id"))
     low, high = F.greatest(F.col("_at"), F.col("sequence_id") * window), F.least(F.col("_at") + F.col("n"), (F.col("sequence_id") + 1) * window)

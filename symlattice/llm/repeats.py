@@ -182,6 +182,8 @@ def repeated(docs: DataFrame, scratch: Scratch, window: int = WINDOW, anchor: in
     out = scratch.write(hits.groupBy("doc_id").agg(F.collect_set("hash").alias("hashes")), "hits")
     index.drop()
     scratch.drop("prints")
+    for k in range(batches):
+        scratch.drop(f"batch{k}-hits")
     scratch.release()
     return out
 
