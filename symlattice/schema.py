@@ -6,19 +6,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SYMBOLS = T.StructType.fromDDL("""
-    sym_id bigint, sym_tag string, name string, name_lower string, parent_id bigint, ordinal bigint,
-    lexical_parent_id bigint, class_parent_id bigint, type_id bigint,
-    base_type string, udt_kind string, data_kind string, access string, length decimal(20,0),
+
+
+def _schema(text: str) -> T.StructType:
+    """A schema from 'name type, ...'; unlike fromDDL it needs no session."""
+    out = T.StructType()
+    for part in text.split(","):
+        name, kind = part.split()
+        out.add(name, kind.replace("20.0", "20,0"))
+    return out
+
+
+SYMBOLS = _schema("""
+    sym_id long, sym_tag string, name string, name_lower string, parent_id long, ordinal long,
+    lexical_parent_id long, class_parent_id long, type_id long,
+    base_type string, udt_kind string, data_kind string, access string, length decimal(20.0),
     const_type boolean, volatile_type boolean, is_virtual boolean, is_reference boolean, is_static boolean,
     inl_spec boolean, is_naked boolean, no_return boolean, no_inline boolean, is_pure boolean,
-    array_count bigint, bit_position bigint, offset int, virtual_base_offset bigint,
-    value struct<vt: string, i64: bigint, str: string>,
-    addr_section bigint, addr_offset bigint, rva bigint, va decimal(20,0), location_type string,
-    platform bigint, language bigint, compiler_name string, has_debug_info boolean""")
-LINES = T.StructType.fromDDL("section bigint, offset bigint, length bigint, file_id bigint, line bigint, ordinal bigint")
-SOURCE_FILES = T.StructType.fromDDL("file_id bigint, file_name string, ordinal bigint")
-SETTINGS = T.StructType.fromDDL("name string, hash bigint, type_id string, value bigint")
+    array_count long, bit_position long, offset integer, virtual_base_offset long""")
+SYMBOLS.add("value", _schema("vt string, i64 long, str string"))
+for _field in _schema("addr_section long, addr_offset long, rva long, va decimal(20.0), location_type string, platform long, language long, compiler_name string, has_debug_info boolean"):
+    SYMBOLS.add(_field)
+LINES = _schema("section long, offset long, length long, file_id long, line long, ordinal long")
+SOURCE_FILES = _schema("file_id long, file_name string, ordinal long")
+SETTINGS = _schema("name string, hash long, type_id string, value long")
 
 #: The parent of top-level symbols.
 GLOBAL = 0
