@@ -1,0 +1,24 @@
+"""The registered queries against their SQL."""
+
+import duckdb
+import pytest
+
+from symlattice.llm.queries import ORACLES, QUERIES
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", list(ORACLES))
+def test_query(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    want = con.execute(ORACLES[name])
+    columns = [d[0] for d in want.description]
+    got = QUERIES[name](spark, SF)
+    assert sorted(got.columns) == sorted(columns)
+    assert sorted(map(repr, (tuple(r[c] for c in columns) for r in got.collect()))) == sorted(map(repr, map(tuple, want.fetchall())))
+
+
+def test_every_operator_has_a_query():
+    assert [int(n[2:].split("_")[0]) for n in QUERIES] == list(range(1, 11))
