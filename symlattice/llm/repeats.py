@@ -108,7 +108,8 @@ class FingerprintIndex:
     def _write(self, rows: DataFrame) -> None:
         name = f"fingerprint_run_{uuid.uuid4().hex}"
         rows = rows.select("hash", "proof", "first").repartition(self.buckets, "hash", "proof")
-        rows.write.bucketBy(self.buckets, "hash", "proof").sortBy("hash", "proof").option("path", self.scratch.path(name)).option("compression", "zstd").saveAsTable(name)
+        with self.scratch.tidy():
+            rows.write.bucketBy(self.buckets, "hash", "proof").sortBy("hash", "proof").option("path", self.scratch.path(name)).option("compression", "zstd").saveAsTable(name)
         self.runs.append(name)
 
     def _drop(self, name: str) -> None:
@@ -170,8 +171,7 @@ def repeated(docs: DataFrame, scratch: Scratch, window: int = WINDOW, anchor: in
     bounds, listed = lists.agg(F.percentile_approx("doc_id", share, 10_000), F.sum(F.size("_anchors"))).first()
     batch = sum((F.when(F.col("doc_id") > b, 1).otherwise(0) for b in (bounds or [])[: batches - 1]), F.lit(0))
     prints = _fingerprints(docs.join(lists.hint("merge"), "doc_id"), window, anchor).withColumn("batch", batch)
-    prints.write.option("compression", "zstd").partitionBy("batch").parquet(scratch.path("prints"))
-    prints = spark.read.schema(prints.schema).parquet(scratch.path("prints"))
+    prints = scratch.write(prints, "prints", ("batch",))
     scratch.drop("lists")
     scratch.release()
     # An anchor stands for about five windows.

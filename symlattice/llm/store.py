@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import uuid
 
@@ -10,6 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from ..plans.stages import shared_folder
 
 
+#: Spark's own setting to drop a query's shuffle files at its end.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Scratch:
     """Written tables of one run.  Writing cuts the lineage, so a lost executor costs one task, not the run."""
 
@@ -20,10 +25,21 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.option("compression", "zstd").parquet(self.path(name))
+    def write(self, df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
+        with self.tidy():
+            df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    @contextlib.contextmanager
+    def tidy(self):
+        """What is written inside leaves no shuffle files: the table is all that later steps read."""
+        before = self.spark.conf.get(CLEAN_UP)
+        self.spark.conf.set(CLEAN_UP, "true")
+        try:
+            yield
+        finally:
+            self.spark.conf.set(CLEAN_UP, before)
+
     def drop(self, name: str) -> None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
         path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
