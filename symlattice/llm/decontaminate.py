@@ -46,7 +46,7 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block: int = BLOCK, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, n_words, hits array<struct<at,size>>, items array<string> and the columns in keep, for every row of docs.
+    """doc_id, n_words, hits array<struct<at,size>>, items array<string>, kept struct of the columns in keep, for every row of docs.
 
     Null text has no words.  Repeated rows each give a row.  An item without words
     is not looked for; equal items are looked for once each.  Empty tables give
@@ -57,7 +57,9 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block: int
     sizes, total = sorted(r["size"] for r in about), sum(r["count"] for r in about)
     blocks = max(1, -(-total // block))
 
-    base = docs.select(F.col("doc_id"), *[F.col(c) for c in keep], F.monotonically_increasing_id().alias("_row"), words_of(F.col("text")).alias("_w"))
+    # A row is known by its id and two hashes of its text, which are the same in every scan of the table.
+    row = F.struct(F.xxhash64("text"), F.xxhash64("text", F.lit(1)), F.col("text").isNull())
+    base = docs.select("doc_id", F.struct(F.lit(0).alias("_"), *[F.col(c) for c in keep]).alias("_kept"), row.alias("_row"), words_of(F.col("text")).alias("_w"))
     base = base.withColumn("_n", F.size("_w"))
     found = None
     for size in sizes or [window]:
@@ -65,10 +67,11 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block: int
             marker = found is None
             hashes = windows_at(F.col("_w"), F.col("_n"), size)
             each = base.select(
-                "doc_id", "_row", "_n", "_w", *([*keep] if marker else [F.lit(None).cast(docs.schema[c].dataType).alias(c) for c in keep]),
+                "doc_id", "_row", "_n", "_w", (F.col("_kept") if marker else F.lit(None).cast(base.schema["_kept"].dataType)).alias("_kept"),
                 (F.concat(F.array(F.lit(0).cast("bigint")), hashes) if marker else hashes).alias("_h"),
             )
-            each = each.select("doc_id", "_row", "_n", "_w", *keep, F.posexplode("_h").alias("_at", "_key"))
+            # The outer form keeps the optimizer from testing the array's size in the scan, where it would make the words anew for each window.
+            each = each.select("doc_id", "_row", "_n", "_w", "_kept", F.posexplode_outer("_h").alias("_at", "_key"))
             if not marker:
                 each = each.withColumn("_at", F.col("_at") + 1)
             part = known.where((F.col("size") == size) & (F.pmod(F.col("block"), F.lit(blocks)) == b)).select("key", "window", "items")
@@ -77,14 +80,14 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block: int
             hit = F.col("window").isNotNull() & same
             mark = F.col("_at") == 0
             probed = probed.where(mark | hit).select(
-                "doc_id", "_row", "_n", *[F.when(mark, F.col(c)).alias(c) for c in keep],
+                "doc_id", "_row", "_n", F.when(mark, F.col("_kept")).alias("_kept"),
                 F.when(hit, F.struct(F.col("_at").alias("at"), F.lit(size).alias("size"))).alias("_hit"), F.when(hit, F.col("items")).alias("items"),
             )
             found = probed if found is None else found.unionByName(probed)
-    return found.groupBy("_row", "doc_id").agg(
-        F.max("_n").cast("bigint").alias("n_words"), F.collect_list("_hit").alias("hits"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"),
-        *[F.first(c, ignorenulls=True).alias(c) for c in keep],
+    by_row = found.groupBy("_row", "doc_id").agg(
+        F.max("_n").cast("bigint").alias("n_words"), F.array_distinct(F.collect_list("_hit")).alias("hits"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.collect_list("_kept").alias("_all"),
     )
+    return by_row.select("doc_id", "n_words", "hits", "items", F.explode("_all").alias("kept"))
 
 
 def covered(hits: Column) -> Column:
@@ -107,12 +110,13 @@ def clean(docs: DataFrame, benchmark: DataFrame, min_items: int = 2) -> DataFram
     """
     keep = tuple(c for c in docs.columns if c != "doc_id")
     rows = scan(docs, benchmark, keep=keep).where(F.size("items") < min_items)
-    word = SEPARATORS.replace("[", "[^", 1)
-    gaps, said = F.split(F.col("text"), word, -1), F.regexp_extract_all(F.col("text"), F.lit(f"({word})"), F.lit(1))
+    old, word = F.col("kept.text"), SEPARATORS.replace("[", "[^", 1)
+    gaps, said = F.split(old, word, -1), F.regexp_extract_all(old, F.lit(f"({word})"), F.lit(1))
     gone = covered(F.col("hits"))
-    left = F.concat(F.array_join(F.zip_with(gaps, F.transform(said, lambda w, i: F.when(F.array_contains(gone, i + 1), F.lit("")).otherwise(w)), lambda g, w: F.concat(g, F.coalesce(w, F.lit("")))), ""))
-    text = F.when(F.size("hits") > 0, left).otherwise(F.col("text"))
-    out = rows.withColumn("text", text)
+    left = F.transform(said, lambda w, i: F.when(F.array_contains(gone, i + 1), F.lit("")).otherwise(w))
+    cut = F.array_join(F.zip_with(gaps, left, lambda g, w: F.concat(g, F.coalesce(w, F.lit("")))), "")
+    hit = F.size("hits") > 0
+    new = {"doc_id": F.col("doc_id"), "text": F.when(hit, cut).otherwise(old)}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("hits") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.when(hit, F.length(cut)).otherwise(F.col("kept.n_chars")).cast(docs.schema["n_chars"].dataType)
+    return rows.select(*[new.get(c, F.col(f"kept.`{c}`")).alias(c) for c in docs.columns])

@@ -126,6 +126,12 @@ def header(data: bytes, at: int) -> tuple[int, int, bool] | None:
     return length(b, r, data[at + 2] >> 1 & 1), r, not data[at + 1] & 1
 
 
+def checks(data: bytes, at: int, protected: bool) -> bool:
+    """Whether the frame has a checksum and it is right."""
+    side = 17 if data[at + 3] >> 6 == 3 else 32
+    return protected and at + 6 + side <= len(data) and crc16(bytes(data[at + 2 : at + 4] + data[at + 6 : at + 6 + side])) == data[at + 4] << 8 | data[at + 5]
+
+
 def sync(data: bytes, at: int, end: int) -> int:
     """The next place from which two headers follow each other (or one reaches the end); end if none."""
     while 0 <= (at := data.find(b"\xff", at, end)) < end:
@@ -151,7 +157,9 @@ def parse(data: bytes) -> Parsed:
     first = True
     while at < end:
         h = header(data, at)
-        if not h or at + h[0] > end:
+        good = h and at + h[0] <= end and checks(data, at, h[2])
+        # A header that neither its checksum nor the next header confirms is none.
+        if not good and not (h and (at + h[0] == end or at + h[0] < end and header(data, at + h[0]))):
             nxt = sync(data, at + 1, end)
             out.skipped += nxt - at
             problems.append(f"resync at {at}")
@@ -160,7 +168,7 @@ def parse(data: bytes) -> Parsed:
         n, r, protected = h
         side = 17 if data[at + 3] >> 6 == 3 else 32
         skip = 4 + 2 * protected + side
-        if protected and crc16(bytes(data[at + 2 : at + 4] + data[at + 6 : at + 6 + side])) != data[at + 4] << 8 | data[at + 5]:
+        if protected and not good:
             problems.append(f"checksum at {at}")
         if first and data[at + skip : at + skip + 4] in (b"Xing", b"Info"):
             flags, place = struct.unpack_from(">I", data, at + skip + 4)[0], at + skip + 8

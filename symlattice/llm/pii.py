@@ -55,8 +55,13 @@ TABLE = _table()
 _ODD = re.compile("[" + "".join(map(re.escape, TABLE)) + "]")
 _AT = re.compile(r"\s{0,3}[\[({<]\s?(?:at|AT|At|@)\s?[\])}>]\s{0,3}")
 _DOT = re.compile(r"\s{0,3}[\[({<]\s?(?:dot|DOT|Dot|\.)\s?[\])}>]\s{0,3}")
-_SPACED = re.compile(r"(?<=[A-Za-z0-9])\s{1,3}(?:(at)|(dot|punkt|punto|point))\s{1,3}(?=[A-Za-z0-9])", re.I)
+_SPACED = re.compile(r"(?<=[A-Za-z0-9])\s{1,3}(?:(at)|(dot))\s{1,3}(?=[A-Za-z0-9])", re.I)
 _WORDS = re.compile(r"(?<![A-Za-z])(?:(?:" + "|".join(SPELLED) + r"|[0-9]+|plus|dot|point|\+|\.)(?![A-Za-z])[\s,-]{0,3}){4,}", re.I)
+_LABEL = re.compile(r"[A-Za-z0-9.-]+")
+_SIGNED = re.compile(r"@[A-Za-z0-9.-]+$")
+#: Endings of domains that are read without brackets, and words that are no domain.
+_TOP = re.compile(r"(?:com|org|net|edu|gov|info|biz|io|dev|app|ai|co|eu|uk|us|de|fr|es|it|nl|ch|at|be|pt|br|mx|ca|au|nz|in|jp|cn|ru|pl|se|no|fi|dk)(?![A-Za-z0-9])", re.I)
+_FILLERS = frozenset(("the", "a", "an", "this", "that", "my", "your", "our", "his", "her", "its", "their", "each", "every", "one"))
 _WORD = re.compile(r"[A-Za-z]+|[0-9]+|[+.]")
 _FAR = re.compile("[\xa0\xad\u0250-\U0010ffff]")
 
@@ -151,7 +156,7 @@ def disguised(text: str) -> list[Span]:
     """Spans, in source characters, of identifiers that only the rewritten text shows."""
     odd = not text.isascii() and _FAR.search(text) and _ODD.search(text)
     low = text.lower()
-    signs = ("[at" in low or "(at" in low or "{at" in low or "<at" in low or "@" in text or " at " in low) and ("dot" in low or "(." in low or "[." in low or "{." in low or "punkt" in low or "punto" in low or " point" in low or "at)" in low or "at]" in low or "[@" in low or "(@" in low)
+    signs = (any(x in low for x in ("[at", "(at", "{at", "<at", "[ at", "( at", "@", " at "))) and ("dot" in low or any(x in low for x in ("(.", "[.", "{.", "at)", "at]", "at}", "at>", "[@", "(@", "{@")))
     words = sum(map(SPELLED.__contains__, _tokens(low))) > 3
     if not (odd or signs or words):
         return []
@@ -167,16 +172,19 @@ def disguised(text: str) -> list[Span]:
     if signs or odd:
         tape.rewrite([(m.start(), m.end(), "@") for m in _AT.finditer(tape.text)])
         tape.rewrite([(m.start(), m.end(), ".") for m in _DOT.finditer(tape.text)])
-        # A bare "at" is read as a sign only before a disguised dot of the same address: label at label (dot label)+.
-        edits, seen = [], list(_SPACED.finditer(tape.text))
+        # A bare "at" or "dot" is read as a sign only inside label at label (dot label)+ that ends in a known domain.
+        edits, seen, done = [], list(_SPACED.finditer(tape.text)), 0
         for k, m in enumerate(seen):
-            label = lambda a, b: re.fullmatch(r"[A-Za-z0-9.-]+", tape.text[a:b])
-            if m[2]:
-                before = tape.text[max(0, m.start() - 64) : m.start()]
-                if (k and seen[k - 1].group(0).strip() and edits and edits[-1][1] == seen[k - 1].end() and label(seen[k - 1].end(), m.start())) or re.search(r"@[A-Za-z0-9.-]+$", before):
-                    edits.append((m.start(), m.end(), "."))
-            elif m[1] and k + 1 < len(seen) and seen[k + 1][2] and label(m.end(), seen[k + 1].start()):
-                edits.append((m.start(), m.end(), "@"))
+            if k < done:
+                continue
+            j, end, dots = k + bool(m[1]), m.end() if m[1] else m.start(), []
+            while j < len(seen) and seen[j][2] and (j == k or _LABEL.fullmatch(tape.text, end, seen[j].start())):
+                dots.append((seen[j].start(), seen[j].end(), "."))
+                end, j = seen[j].end(), j + 1
+            signed = m[1] or _SIGNED.search(tape.text, max(0, m.start() - 64), m.start())
+            if dots and signed and _TOP.match(tape.text, end) and not (m[1] and tape.text[m.end() : dots[0][0]].lower() in _FILLERS):
+                edits += [(m.start(), m.end(), "@")] * bool(m[1]) + dots
+                done = j
         tape.rewrite(edits)
     found = spoken + [(k, tape.start[s], tape.end[e - 1]) for k, s, e in base(tape.text) if any(a < tape.end[e - 1] and tape.start[s] < b for a, b in tape.changed)]
     return found
