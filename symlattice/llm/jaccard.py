@@ -7,12 +7,13 @@ of a set, and each subset of the set that a partition holds gives one signature.
 Two similar sets can differ in k partitions at most, so of the first k + 1
 signatures of each, in one common order, one is shared.  (This is the first level
 of the enumeration with one-partition subsets, its second-level size being one.)
-A set with too few filled partitions also enumerates single elements, of which the
-usual prefix suffices.
 
-Signatures order as: rare first, then by hash.  Rare means that the partition holds
-an element that is not among the most widespread ones.  Any order gives the same
-links; this one keeps passages that many documents share out of the signatures.
+Signatures of partitions whose elements are all among the most widespread ones are
+left out, so that passages which many documents share bring nothing together.  A
+set with more than k signatures left is still sure to share one with every similar
+set, since of its first k + 1 at most k can fail.  A set with fewer gives all it
+has left, and single elements besides, the least widespread first, of which the
+usual prefix of a quarter and one suffices for two such sets.
 
 Equal sets are one class and are joined once.  Candidates that share a signature
 are compared with the least of their group first; links merge components; then the
@@ -123,10 +124,10 @@ def signatures(part: np.ndarray, heavy: np.ndarray, spread: np.ndarray, inner: n
             order = np.argsort(place, kind="stable")
             dealt = place[order]
             edge = np.concatenate([_ZERO, np.flatnonzero(dealt[1:] != dealt[:-1]) + 1])
-            sums = np.add.reduceat(inner[order], edge)
-            common = np.logical_and.reduceat(heavy[order], edge)
-            values = W.mix(sums + dealt[edge].astype(np.uint64) * np.uint64(0x9FB21C651E98DF25) + np.uint64(band))
-            out.append(prefix(values, common, k + 1))
+            rare = np.flatnonzero(~np.logical_and.reduceat(heavy[order], edge))
+            sums = np.add.reduceat(inner[order], edge)[rare]
+            values = W.mix(sums + dealt[edge][rare].astype(np.uint64) * np.uint64(0x9FB21C651E98DF25) + np.uint64(band))
+            out.append(prefix(values, np.zeros(len(values), bool), k + 1))
         if not n or len(values) <= k:
             values = W.mix(part ^ np.uint64(0x5851F42D4C957F2D + band))
             out.append(prefix(values, heavy, size - (3 * size + 3) // 4 + 1))
