@@ -15,6 +15,9 @@ set, since of its first k + 1 at most k can fail.  A set with fewer gives all it
 has left, and single elements besides, the least widespread first, of which the
 usual prefix of a quarter and one suffices for two such sets.
 
+Candidates whose sizes or histograms (elements in each of 128 parts of the domain)
+already differ by more than k go before their sets are fetched, which is exact too.
+
 Equal sets are one class and are joined once.  Candidates that share a signature
 are compared with the least of their group first; links merge components; then the
 pairs of a group that still lie in different components are compared.  Nothing is
@@ -38,6 +41,7 @@ TOP = 2.5  # elements a partition at the upper end of a band
 SINGLE = 16  # bands below this size have single elements as partitions
 HEAVY = 200_000  # most widespread shingles that are told apart, at most
 HEAVY_LEAST = 16
+CELLS = 128  # parts of the domain in a set's histogram
 BUCKET = 1_000_000  # signatures in a bucket, about
 FLUSH = 1_000_000  # signatures a task holds before it sends them
 COUNTED = 2_000_000  # shingles a task counts at once
@@ -86,6 +90,14 @@ def element_hashes(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (W.mix(values + np.uint64(0x2545F4914F6CDD1D)) >> np.uint64(32)).astype(np.int64), W.mix(values)
 
 
+def histograms(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """For each set, how many elements fall in each of CELLS parts of the domain; the sum of differences is at most the true difference."""
+    n = len(bounds) - 1
+    cell = (W.mix(values + np.uint64(0x71D67FFFEDA60000)) >> np.uint64(57)).astype(np.int64)
+    doc = np.repeat(np.arange(n), np.diff(bounds))
+    return np.minimum(np.bincount(doc * CELLS + cell, minlength=n * CELLS), 30_000).astype(np.int16)
+
+
 def band_of(size: int) -> int:
     return size.bit_length() - 1
 
@@ -146,14 +158,15 @@ def _describe(docs: DataFrame) -> DataFrame:
             value, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
             value, n = value[n > 2], n[n > 2]
             held, size = [], 0
-            return pa.RecordBatch.from_pydict({"doc_id": pa.nulls(len(n), pa.int64()), "n": pa.nulls(len(n), pa.int64()), "class": pa.array(value.view(np.int64)), "count": pa.array(n)})
+            return pa.RecordBatch.from_pydict({"doc_id": pa.nulls(len(n), pa.int64()), "n": pa.nulls(len(n), pa.int64()), "class": pa.array(value.view(np.int64)), "count": pa.array(n), "cells": pa.nulls(len(n), pa.list_(pa.int16()))})
 
         for b in batches:
-            ids, n, keys = b["doc_id"], np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64)
+            ids, n, keys, cells = b["doc_id"], np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64), []
             for at, values, bounds in shingle_sets(b["text"]):
                 upto = at + len(bounds) - 1
                 n[at:upto] = np.diff(bounds)
                 keys[at:upto] = class_keys(values, bounds)
+                cells.append(histograms(values, bounds))
                 for d, key in enumerate(keys[at:upto].tolist()):
                     if bounds[d] < bounds[d + 1] and key not in seen:
                         seen.add(key)
@@ -161,10 +174,10 @@ def _describe(docs: DataFrame) -> DataFrame:
                         size += len(held[-1])
                         if size > COUNTED:
                             yield counted()
-            yield pa.RecordBatch.from_pydict({"doc_id": ids, "n": pa.array(n), "class": pa.array(keys, mask=n == 0), "count": pa.nulls(len(n), pa.int64())})
+            yield pa.RecordBatch.from_pydict({"doc_id": ids, "n": pa.array(n), "class": pa.array(keys, mask=n == 0), "count": pa.nulls(len(n), pa.int64()), "cells": pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * CELLS, pa.int32()), pa.array(np.concatenate(cells) if cells else np.zeros(0, np.int16)))})
         yield counted()
 
-    return docs.mapInArrow(run, "doc_id long, n long, class long, count long")
+    return docs.mapInArrow(run, "doc_id long, n long, class long, count long, cells array<smallint>")
 
 
 def _blobs(docs: DataFrame, heavy: np.ndarray, buckets: int) -> DataFrame:
@@ -295,7 +308,7 @@ def join(docs: DataFrame) -> DataFrame:
     widest = counts.orderBy(F.desc("n"), "class").limit(HEAVY).select("class").collect()  # HEAVY numbers at most
     heavy = np.sort(np.array([r[0] for r in widest], np.int64).view(np.uint64))
     members = members.withColumn("class", F.when(F.col("doc_id").isNotNull(), F.col("class")))
-    classes = members.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("first"), F.min("n").alias("n"))
+    classes = members.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("first"), F.min("n").alias("n"), F.first("cells").alias("cells"))
     buckets = max(32, int(shingles // (2 * BUCKET)))
     blobs = _blobs(docs.where("doc_id is not null"), heavy, buckets)
     groups = scratch.write(blobs.groupBy("bucket").applyInArrow(_meet, "group long, class long"), "groups")
@@ -304,11 +317,13 @@ def join(docs: DataFrame) -> DataFrame:
     # The least class of each group against all others.
     pivots = groups.groupBy("group").agg(F.min("class").alias("pivot"), F.max("class").alias("_last")).where("pivot < _last").drop("_last")
     sizes = scratch.write(classes, "classes")
-    na, nb = sizes.select(F.col("class").alias("a"), F.col("n").alias("na")), sizes.select(F.col("class").alias("b"), F.col("n").alias("nb"))
+    na, nb = sizes.select(F.col("class").alias("a"), F.col("n").alias("na"), F.col("cells").alias("ca")), sizes.select(F.col("class").alias("b"), F.col("n").alias("nb"), F.col("cells").alias("cb"))
     near = 100 * F.least("na", "nb") >= 75 * F.greatest("na", "nb")
+    apart_by = F.aggregate(F.zip_with("ca", "cb", lambda x, y: F.abs(x.cast("int") - y.cast("int"))), F.lit(0), lambda total, x: total + x)
 
     def sized(pairs: DataFrame) -> DataFrame:
-        return pairs.distinct().join(na, "a").join(nb, "b").where(near)
+        """Pairs whose sizes and histograms leave similarity possible: similar sets differ in (na + nb) / 7 elements at most."""
+        return pairs.distinct().join(na, "a").join(nb, "b").where(near).where(7 * apart_by <= F.col("na") + F.col("nb")).drop("ca", "cb")
 
     stars = groups.join(pivots, "group").where("class <> pivot").select(F.col("pivot").alias("a"), F.col("class").alias("b"))
     stars = scratch.write(sized(stars), "stars")
@@ -343,7 +358,7 @@ def join(docs: DataFrame) -> DataFrame:
     named = sizes.join(named, sizes["class"] == named["node"], "left").select("class", "first", F.coalesce("root", "class").alias("root"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     of = scratch.write(named.join(least, "root").select("class", "component_id"), "components")
-    out = members.join(of, "class", "left")
+    out = members.drop("cells").join(of, "class", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
