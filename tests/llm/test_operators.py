@@ -394,6 +394,31 @@ def test_shards_are_written(spark, tmp_path):
     assert back.count() == 50 and back.groupBy("shard").count().agg(F.max("count") - F.min("count")).first()[0] <= 1
 
 
+def test_shard_report_reads_whole_stored_records(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(i, None if i % 50 == 0 else f"{i} é " + "x" * (rng.randrange(200) if i % 40 else 60_000)) for i in range(400)]
+    seen, plain = [], shard.write
+    monkeypatch.setattr(shard, "write", lambda docs, path, *a, **k: (seen.append(path), plain(docs, path, *a, **k)))
+    df = table(spark, rows)
+    got = {r["doc_id"]: (r["size"], r["text_crc32"], r["shard"], r["slot"]) for r in shard.report(df, 7).collect()}
+    back = spark.read.parquet(seen[0])
+    assert set(back.columns) == {*df.columns, "_shard", "slot"}
+    assert {r["doc_id"]: (r["text"], r["lang"], r["n_chars"], r["_shard"]) for r in back.collect()} == {i: (t, "en", t and len(t), "z") for i, t in rows}
+    assert {r["doc_id"]: (len((r["text"] or "").encode()) + 16, zlib.crc32((r["text"] or "").encode()), r["shard"], r["slot"]) for r in back.collect()} == got
+    for k in range(7):  # files by name hold a shard in the order of its slots
+        files = sorted({r[0] for r in back.where(f"shard = {k}").select(F.input_file_name()).collect()})
+        slots = [r["slot"] for f in files for r in spark.read.parquet(f).collect()]
+        assert slots == list(range(len(slots))) and len(slots) in (57, 58)
+
+
+def test_shard_buckets_are_bounded_by_bytes(spark):
+    df = spark.createDataFrame([(i, "x" * 20_000) for i in range(300)], "doc_id long, text string")
+    buckets = lambda **k: int(re.search(r"xxhash64\(.*?\), (\d+)\) AS _bucket", shard.assign(df, 4, **k)._jdf.queryExecution().toString())[1])
+    assert buckets(bucket_bytes=10 << 20) == 1 and buckets(bucket_bytes=100_000) >= 60
+    got = {(r["shard"], r["slot"]) for r in shard.assign(df, 4, bucket_bytes=100_000).collect()}
+    assert got == {(s, k) for s in range(4) for k in range(75)}
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
