@@ -191,12 +191,12 @@ def disguised(text: str) -> list[Span]:
 
 
 def detect(text: str | None) -> tuple[list[Span], list[Span]]:
-    """(plain spans, all spans); a disguised span is added where no other of its kind overlaps it."""
+    """(plain spans, all spans); a disguised span is added unless one of its kind contains it."""
     text = text or ""
     plain = base(text)
     every = list(plain)
     for s in sorted(disguised(text), key=lambda s: (s[1] - s[2], s[1])):
-        if not any(x[0] == s[0] and x[1] < s[2] and s[1] < x[2] for x in every):
+        if not any(x[0] == s[0] and x[1] <= s[1] and s[2] <= x[2] for x in every):
             every.append(s)
     every.sort(key=lambda s: (KINDS.index(s[0]), s[1]))
     return plain, every

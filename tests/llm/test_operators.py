@@ -137,6 +137,17 @@ def test_pii_disguises(text, kind, want):
     assert want not in pii.redact(text) and f"[{kind.upper()}]" in pii.redact(text)
 
 
+@pytest.mark.parametrize("text,kind,want", [
+    ("to j\u0430ne@example.com now", "email", "j\u0430ne@example.com"), ("to ja\u200bne@example.com now", "email", "ja\u200bne@example.com"), ("to jane@example.c\u043em now", "email", "jane@example.c\u043em"),
+    ("call +1 415 555 013\uff12\uff13 now", "phone", "+1 415 555 013\uff12\uff13"),
+])
+def test_pii_half_disguised(text, kind, want):
+    plain, every = pii.detect(text)
+    at = text.index(want)
+    assert [k for k, _, _ in plain] == [kind] and set(plain) < set(every) and (kind, at, at + len(want)) in every
+    assert pii.redact(text) == text.replace(want, f"[{kind.upper()}]")
+
+
 @pytest.mark.parametrize("text", ["we met at noon and saw a dot on it", "look at this one, two of three; four were at home", "arrive at station dot blank", "look at the dot com boom", "stare at it, dot in hand", "Ärger über naïve façade", "at dot", None, ""])
 def test_pii_leaves_clean_texts(text):
     assert pii.detect(text) == ([], []) and pii.redact(text) == text
