@@ -16,6 +16,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .domains import TOP
+
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[str, int, int]
 
@@ -56,22 +58,20 @@ _ODD = re.compile("[" + "".join(map(re.escape, TABLE)) + "]")
 _AT = re.compile(r"\s{0,3}[\[({<]\s?(?:at|AT|At|@)\s?[\])}>]\s{0,3}")
 _DOT = re.compile(r"\s{0,3}[\[({<]\s?(?:dot|DOT|Dot|\.)\s?[\])}>]\s{0,3}")
 _SPACED = re.compile(r"(?<=[A-Za-z0-9])\s{1,3}(?:(at)|(dot))\s{1,3}(?=[A-Za-z0-9])", re.I)
-_WORDS = re.compile(r"(?<![A-Za-z])(?:(?:" + "|".join(SPELLED) + r"|[0-9]+|plus|dot|point|\+|\.)(?![A-Za-z])[\s,-]{0,3}){4,}", re.I)
+_BRACKETED = re.compile(r"[\[({<]\s?(?:at|@|\.)\s?[\])}>]")
+_SPOKEN = re.compile(r"(?<![A-Za-z])(?:" + "|".join(SPELLED) + r"|plus|dot|point)(?![A-Za-z])", re.I)
+_WORDS = re.compile(r"(?<![A-Za-z])(?:(?:" + "|".join(SPELLED) + r"|[0-9]++|plus|dot|point|\+|\.)(?![A-Za-z])[\s,-]{0,3}){2,}", re.I)
 _LABEL = re.compile(r"[A-Za-z0-9.-]+")
+_LAST = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*")
+_NAME = re.compile(r"[A-Za-z0-9._%+-]+")
 _SIGNED = re.compile(r"@[A-Za-z0-9.-]+$")
-#: Endings of domains that are read without brackets, and words that are no domain.
-_TOP = re.compile(r"(?:com|org|net|edu|gov|info|biz|io|dev|app|ai|co|eu|uk|us|de|fr|es|it|nl|ch|at|be|pt|br|mx|ca|au|nz|in|jp|cn|ru|pl|se|no|fi|dk)(?![A-Za-z0-9])", re.I)
+_ADDRESS = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]")
+#: Words that are no domain.
 _FILLERS = frozenset(("the", "a", "an", "this", "that", "my", "your", "our", "his", "her", "its", "their", "each", "every", "one"))
 _WORD = re.compile(r"[A-Za-z]+|[0-9]+|[+.]")
 _FAR = re.compile("[\xa0\xad\u0250-\U0010ffff]")
 
 
-def _tokens(low: str) -> list[str]:
-    for c in "-,.;:()[]":
-        low = low.replace(c, " ")
-    return low.split()
-
-
 def luhn(digits: str) -> bool:
     total = 0
     for k, c in enumerate(reversed(digits)):
@@ -140,24 +140,77 @@ class Tape:
 
 
 def _spelled(run: re.Match) -> list[tuple[int, int, str]]:
-    """Edits that turn a run of spelled digits into digits, closing the gaps between them."""
+    """Edits that turn the spelled digits of a run into digits and close the gaps beside them; in a run of four or more, all gaps."""
     parts = [(m.start() + run.start(), m.end() + run.start(), m[0].lower()) for m in _WORD.finditer(run[0])]
-    while parts and parts[-1][2] in ("dot", "point", ".", "plus", "+"):
-        parts.pop()
-    while parts and parts[0][2] in ("dot", "point", "."):
-        parts.pop(0)
-    if sum(w in SPELLED for *_, w in parts) < 4:
+
+    def trim() -> None:
+        while parts and parts[-1][2] in ("dot", "point", ".", "plus", "+"):
+            parts.pop()
+        while parts and parts[0][2] in ("dot", "point", "."):
+            parts.pop(0)
+
+    trim()
+    spelled = sum(w in SPELLED for *_, w in parts)
+    if spelled < 4:
+        # A lone number word beside an identifier that is plain without it is prose.
+        if len(parts) > 1 and parts[-1][2] in SPELLED and parts[-2][2] not in SPELLED:
+            end = parts[-2][1]
+            if any(e == min(64, end) for _, _, e in base(run.string[max(0, end - 64) : end])):
+                parts.pop()
+        if len(parts) > 1 and parts[0][2] in SPELLED and parts[1][2] not in SPELLED and any(s == 0 for _, s, _ in base(run.string[parts[1][0] : parts[1][0] + 64])):
+            parts.pop(0)
+        trim()
+    if not any(w.isalpha() for *_, w in parts):
         return []
-    new = "".join(SPELLED.get(w) or {"plus": "+", "dot": ".", "point": "."}.get(w, w) for *_, w in parts)
-    return [(parts[0][0], parts[-1][1], new)]
+    edits: list[tuple[int, int, str]] = []
+    for k, (a, b, w) in enumerate(parts):
+        if k and a > parts[k - 1][1] and (spelled > 3 or w.isalpha() or w == "." or not parts[k - 1][2].isdigit()):
+            edits.append((parts[k - 1][1], a, ""))
+        if w.isalpha():
+            edits.append((a, b, SPELLED.get(w) or {"plus": "+", "dot": ".", "point": "."}[w]))
+    return edits
+
+
+def _top(text: str, at: int) -> bool:
+    """Whether the label at this place, with what plain dots add to it, begins or ends with a top-level domain."""
+    m = _LAST.match(text, at)
+    labels = m[0].lower().split(".") if m else [""]
+    return labels[0] in TOP or labels[-1] in TOP
+
+
+def _spaced(text: str) -> list[tuple[int, int, str]]:
+    """Edits for bare words: name (dot name)* at label (dot label)+, or the same with a sign, that ends in a top-level domain."""
+    seen, edits, done = list(_SPACED.finditer(text)), [], 0
+    for k, m in enumerate(seen):
+        if k < done:
+            continue
+        j, end, ends = k + bool(m[1]), m.end() if m[1] else m.start(), []
+        signed = m[1] or _SIGNED.search(text, max(0, m.start() - 256), m.start())
+        while signed and j < len(seen) and seen[j][2] and (j == k or _LABEL.fullmatch(text, end, seen[j].start())):
+            end, j = seen[j].end(), j + 1
+            if _top(text, end):
+                ends.append(j)
+        first, last = k, k
+        if ends and not (m[1] and text[m.end() : seen[k + 1].start()].lower() in _FILLERS):
+            last = ends[-1]
+            edits += [(x.start(), x.end(), "." if x[2] else "@") for x in seen[k:last]]
+        elif m[2] and _ADDRESS.match(text, m.end()):
+            last = k + 1
+            edits.append((m.start(), m.end(), "."))
+        if last > k:
+            while first > done and seen[first - 1][2] and (m[1] or m[2] and not signed) and _NAME.fullmatch(text, seen[first - 1].end(), seen[first].start()):
+                first -= 1
+                edits.append((seen[first].start(), seen[first].end(), "."))
+            done = last
+    return sorted(edits)
 
 
 def disguised(text: str) -> list[Span]:
     """Spans, in source characters, of identifiers that only the rewritten text shows."""
     odd = not text.isascii() and _FAR.search(text) and _ODD.search(text)
     low = text.lower()
-    signs = (any(x in low for x in ("[at", "(at", "{at", "<at", "[ at", "( at", "@", " at "))) and ("dot" in low or any(x in low for x in ("(.", "[.", "{.", "at)", "at]", "at}", "at>", "[@", "(@", "{@")))
-    words = sum(map(SPELLED.__contains__, _tokens(low))) > 3
+    signs = "dot" in low or _BRACKETED.search(low)
+    words = _SPOKEN.search(text)
     if not (odd or signs or words):
         return []
     tape = Tape(text)
@@ -172,20 +225,7 @@ def disguised(text: str) -> list[Span]:
     if signs or odd:
         tape.rewrite([(m.start(), m.end(), "@") for m in _AT.finditer(tape.text)])
         tape.rewrite([(m.start(), m.end(), ".") for m in _DOT.finditer(tape.text)])
-        # A bare "at" or "dot" is read as a sign only inside label at label (dot label)+ that ends in a known domain.
-        edits, seen, done = [], list(_SPACED.finditer(tape.text)), 0
-        for k, m in enumerate(seen):
-            if k < done:
-                continue
-            j, end, dots = k + bool(m[1]), m.end() if m[1] else m.start(), []
-            while j < len(seen) and seen[j][2] and (j == k or _LABEL.fullmatch(tape.text, end, seen[j].start())):
-                dots.append((seen[j].start(), seen[j].end(), "."))
-                end, j = seen[j].end(), j + 1
-            signed = m[1] or _SIGNED.search(tape.text, max(0, m.start() - 64), m.start())
-            if dots and signed and _TOP.match(tape.text, end) and not (m[1] and tape.text[m.end() : dots[0][0]].lower() in _FILLERS):
-                edits += [(m.start(), m.end(), "@")] * bool(m[1]) + dots
-                done = j
-        tape.rewrite(edits)
+        tape.rewrite(_spaced(tape.text))
     found = spoken + [(k, tape.start[s], tape.end[e - 1]) for k, s, e in base(tape.text) if any(a < tape.end[e - 1] and tape.start[s] < b for a, b in tape.changed)]
     return found
 

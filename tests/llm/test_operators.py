@@ -148,6 +148,23 @@ def test_pii_half_disguised(text, kind, want):
     assert pii.redact(text) == text.replace(want, f"[{kind.upper()}]")
 
 
+@pytest.mark.parametrize("text,kind,want", [
+    *((f"ask bob at mail dot example dot {top} now", "email", f"bob at mail dot example dot {top}") for top in ("me", "tv", "xyz", "za", "kr", "ie", "cz", "online", "cloud")),
+    ("ask jane dot doe at example dot com now", "email", "jane dot doe at example dot com"), ("ask a dot b dot c at d dot co dot uk, yes", "email", "a dot b dot c at d dot co dot uk"),
+    ("ask bob at\tmail dot example dot com now", "email", "bob at\tmail dot example dot com"), ("ask bob at\nexample dot com dot Then", "email", "bob at\nexample dot com"), ("ask jane dot doe@example.com now", "email", "jane dot doe@example.com"), ("ask jane dot doe@example dot xyz now", "email", "jane dot doe@example dot xyz"),
+    ("call +1 555 one two three 4567 now", "phone", "+1 555 one two three 4567"), ("call +44 20 seven 946 0958", "phone", "+44 20 seven 946 0958"), ("call plus 44 20 7946 0958 now", "phone", "plus 44 20 7946 0958"),
+    ("card 4111 1111 11 one one 1111 now", "card", "4111 1111 11 one one 1111"), ("host 10 dot 0 dot zero dot 1 up", "ip", "10 dot 0 dot zero dot 1"), ("in 2024, 7, 10.0.zero.1 up", "ip", "10.0.zero.1"),
+])
+def test_pii_spoken(text, kind, want):
+    assert want in [text[s:e] for k, s, e in pii.detect(text)[1] if k == kind]
+    assert pii.redact(text) == text.replace(want, f"[{kind.upper()}]")
+
+
+@pytest.mark.parametrize("text,want", [("call +1 415 555 0132 one more time", "call [PHONE] one more time"), ("host 10.0.0.1 one of two", "host [IP] one of two"), ("one 10.0.0.1", "one [IP]"), ("one or two, three 2024 11 22 33 44 55 66 77", None)])
+def test_pii_number_words_beside_plain_ones(text, want):
+    assert pii.redact(text) == (want or text)
+
+
 @pytest.mark.parametrize("text", ["we met at noon and saw a dot on it", "look at this one, two of three; four were at home", "arrive at station dot blank", "look at the dot com boom", "stare at it, dot in hand", "Ärger über naïve façade", "at dot", None, ""])
 def test_pii_leaves_clean_texts(text):
     assert pii.detect(text) == ([], []) and pii.redact(text) == text
