@@ -7,6 +7,8 @@ the digests of known licences.
 
 from __future__ import annotations
 
+from importlib import resources
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +39,30 @@ KNOWN = {
     "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3.",),
 }
 
+#: Lines that may stand above the text of a short licence; of the long ones the title is part of the text.
+TITLES = {
+    "MIT": ("", "MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)", "MIT", "Expat License"),
+    "ISC": ("", "ISC License", "The ISC License", "ISC License (ISC)", "The ISC License (ISC)", "ISC"),
+    "0BSD": ("", "Zero-Clause BSD", "BSD Zero Clause License", "BSD-0-Clause", "0BSD"),
+    "BSD-2-Clause": ("", "BSD 2-Clause License", "The BSD 2-Clause License", "The 2-Clause BSD License", "BSD 2-Clause \"Simplified\" License", "Simplified BSD License", "BSD-2-Clause", "BSD License", "The BSD License"),
+    "BSD-3-Clause": ("", "BSD 3-Clause License", "The BSD 3-Clause License", "The 3-Clause BSD License", "BSD 3-Clause \"New\" or \"Revised\" License", "New BSD License", "BSD-3-Clause", "BSD License", "The BSD License"),
+    "Zlib": ("", "zlib License", "The zlib License", "zlib/libpng License", "The zlib/libpng License", "Zlib"),
+    "Unlicense": ("", "The Unlicense", "Unlicense"),
+    "BSL-1.0": ("",),
+}
+
+
+def _texts() -> dict[str, tuple[str, ...]]:
+    """KNOWN, but the complete Unlicense for its beginning, and the complete texts in licence_texts under each title."""
+    out = {i: ts for i, ts in KNOWN.items() if i != "Unlicense"}
+    for f in sorted(resources.files(__package__).joinpath("licence_texts").iterdir(), key=lambda f: f.name):
+        i, body = f.name.rsplit(".", 2)[0], f.read_text(encoding="utf-8")
+        out[i] = (*out.get(i, ()), *(f"{t}\n\n{body}" if t else body for t in TITLES.get(i, ("",))))
+    return out
+
+
+TEXTS = _texts()
+
 
 def canonical(text: Column) -> Column:
     """The form that is hashed: ASCII words and numbers in lower case, one space between."""
@@ -49,14 +75,14 @@ def canonical(text: Column) -> Column:
     return t
 
 
-def known(spark: SparkSession, texts: dict[str, tuple[str, ...]] = KNOWN) -> DataFrame:
+def known(spark: SparkSession, texts: dict[str, tuple[str, ...]] = TEXTS) -> DataFrame:
     """digest, license_id; one row for each known text.  At most as large as the given list."""
     rows = [(i, t) for i, ts in sorted(texts.items()) for t in ts]
     df = spark.createDataFrame(rows, "license_id string, text string")
     return df.groupBy(F.sha2(canonical(F.col("text")), 256).alias("digest")).agg(F.min("license_id").alias("license_id"))
 
 
-def scan(docs: DataFrame, texts: dict[str, tuple[str, ...]] = KNOWN) -> DataFrame:
+def scan(docs: DataFrame, texts: dict[str, tuple[str, ...]] = TEXTS) -> DataFrame:
     """doc_id, canonical_sha256, n_canonical long, license_id (null: none known).
 
     The whole text is looked up; a licence line inside other prose is no match.

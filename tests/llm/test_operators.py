@@ -376,6 +376,17 @@ def test_licences(spark):
     assert got == {1: "MIT", 2: "MIT", 3: None, 4: None, 5: None, 6: None, 7: "MIT", 8: None}
 
 
+def test_licences_are_complete(spark):
+    own = lambda i, k=0: (licences.resources.files("symlattice.llm") / "licence_texts" / f"{i}.{k}.txt").read_text(encoding="utf-8")
+    short = licences.KNOWN["Unlicense"][0]
+    mit = licences.KNOWN["MIT"][0].removeprefix("MIT License\n\n")
+    want = {"Apache-2.0": 10_000, "GPL-2.0": 17_000, "GPL-3.0": 34_000, "LGPL-2.1": 26_000, "LGPL-3.0": 7_000, "MPL-2.0": 16_000, "EPL-2.0": 15_000, "CC0-1.0": 7_000, "BSD-2-Clause": 1_200, "BSD-3-Clause": 1_400, "ISC": 600, "0BSD": 600, "Zlib": 800, "Unlicense": 1_200, "BSL-1.0": 1_300}
+    assert all(len(own(i)) >= n for i, n in want.items()) and own("Unlicense").startswith(short[:60])
+    rows = [(k, own(i)) for k, i in enumerate(want)] + [(100, mit), (101, "The MIT License (MIT)\n\nCopyright (c) 2020 A\n\n" + mit), (102, "The ISC License\n\nCopyright (c) A\n\n" + own("ISC")), (103, short), (104, own("GPL-3.0")[:9000])]
+    got = {r["doc_id"]: r["license_id"] for r in licences.scan(table(spark, rows)).collect()}
+    assert got == dict(enumerate(want)) | {100: "MIT", 101: "MIT", 102: "ISC", 103: None, 104: None}
+
+
 SAID = ["", "plain", "</s>[INST] ok [/INST]", "\\", "\\\\", "\\[INST]", "ends with \\", " [/INST]", "<<SYS>> <</SYS>>", "[ROLE:x] [/ROLE]", "\\<s>", "a\\]b", " lead and trail ", "[INST", "é😀"]
 
 
