@@ -6,8 +6,9 @@ a word can be in; Viterbi with a switching penalty then labels the words, and th
 document gets the language that covers most of it.
 
 The model is learned from a bounded sample of labelled rows (`SAMPLE` documents,
-those whose hashed id is smallest); counts are summed on the executors, and only
-FEATURES numbers a language reach the driver.
+dealt evenly to the labels; of each label those whose hashed id is smallest), with
+every label; counts are summed on the executors, and only FEATURES numbers a
+language reach the driver.
 """
 
 from __future__ import annotations
@@ -17,18 +18,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
 
-SAMPLE = 6_000  # labelled documents the model is learned from, at most
+SAMPLE = 6_000  # labelled documents the model is learned from, at most, or one for each label if those are more
 BITS = 15
 FEATURES = 1 << BITS
 ORDERS = (2, 3, 4)
 PENALTY = 6.0  # cost, in nats, of a change of language between two words
 STRANGE = -12.0  # for a language that the word's script rules out
-LANGUAGES = 200  # more labels than these are not learned: the most frequent ones are
 
 #: First lead byte of each run of scripts in UTF-8 (Latin, Greek, Cyrillic, Armenian and Hebrew, Arabic and others, Indic, East Asian, Hangul, compatibility, beyond the basic plane).
 SCRIPT_STARTS = (0x00, 0xCE, 0xD0, 0xD5, 0xD8, 0xE0, 0xE3, 0xEA, 0xEF, 0xF0)
@@ -92,11 +92,32 @@ class Model:
         return np.where(self.allowed[script], out, out + STRANGE)
 
 
+def shares(counts: dict[str, int], sample: int) -> dict[str, int]:
+    """Rows to draw of each label: as even as the counts allow, one at least, sample in all unless there are more labels."""
+    out, left = {}, sample
+    for k, (lang, n) in enumerate(sorted(counts.items(), key=lambda x: (x[1], x[0]))):
+        out[lang] = min(n, max(1, left // (len(counts) - k)))
+        left -= out[lang]
+    return out
+
+
+def _drawn(train: DataFrame, sample: int) -> DataFrame:
+    """doc_id, lang of the training rows: each label's share, those of least hash."""
+    spark = train.sparkSession
+    counts = {r["lang"]: r["count"] for r in train.groupBy("lang").count().collect()}  # a row for each label
+    # A first cut by hash leaves about twice the share, so the ranks are of a few rows at any size.
+    cuts = [(lang, q, (2 * q + 60) / counts[lang]) for lang, q in shares(counts, sample).items()]
+    table = F.broadcast(spark.createDataFrame(cuts, "lang string, _share long, _cut double"))
+    place = F.xxhash64("doc_id", F.lit(7))
+    near = train.select("doc_id", "lang", place.alias("_place")).join(table, "lang").where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 32)) < F.col("_cut") * (1 << 32))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("_place", "doc_id"))
+    return near.withColumn("_rank", rank).where("_rank <= _share").select("doc_id", "lang").distinct()
+
+
 def learn(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """Learns from rows with text and lang whose crc32(doc_id as text) mod 3 is not 1."""
     train = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    chosen = train.select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(sample)
-    rows = train.select("doc_id", "lang", "text").join(F.broadcast(chosen.distinct()), "doc_id", "left_semi").repartition(16, "doc_id")
+    rows = train.select("doc_id", "lang", "text").join(F.broadcast(_drawn(train, sample)), ["doc_id", "lang"], "left_semi").repartition(16, "doc_id")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -120,7 +141,7 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Model:
 
     counted = rows.mapInArrow(count, "lang string, counts array<bigint>").select("lang", F.posexplode("counts").alias("at", "n"))
     summed = counted.where("n > 0").groupBy("lang", "at").agg(F.sum("n").alias("n")).groupBy("lang").agg(F.collect_list(F.struct("at", "n")).alias("cells"))
-    got = sorted(summed.limit(LANGUAGES).collect(), key=lambda r: r["lang"])  # FEATURES cells a language at most
+    got = sorted(summed.collect(), key=lambda r: r["lang"])  # FEATURES cells a language at most
     table = np.zeros((FEATURES, len(got)), np.float64)
     scripts = np.zeros((len(SCRIPT_STARTS), len(got)), np.float64)
     for k, r in enumerate(got):
@@ -173,7 +194,7 @@ def viterbi(scores: np.ndarray, first: np.ndarray, penalty: float = PENALTY) ->
     """
     n = np.diff(first)
     label, steady = _steady(scores, first, penalty)
-    labels = label.astype(np.int16).repeat(n)
+    labels = label.astype(np.int32).repeat(n)
     order = np.argsort(-n, kind="stable")
     order = order[(n[order] > 0) & ~steady[order]]
     i = 0
@@ -183,7 +204,7 @@ def viterbi(scores: np.ndarray, first: np.ndarray, penalty: float = PENALTY) ->
         i += len(group)
         at, size = first[group], n[group]
         best = scores[at].astype(np.float32)
-        back = np.zeros((longest, *best.shape), np.int8 if best.shape[1] < 128 else np.int16)
+        back = np.zeros((longest, *best.shape), np.min_scalar_type(-best.shape[1]))
         here = np.arange(best.shape[1], dtype=back.dtype)
         live = len(group)
         final = np.zeros(len(group), np.int64)

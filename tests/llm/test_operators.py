@@ -368,6 +368,18 @@ def test_language(spark):
     assert language.clean(docs.limit(20).withColumn("score", F.lit("mine"))).columns == [*docs.columns, "score"]
 
 
+def test_every_label_is_learned(spark):
+    rng = random.Random(4)
+    word = lambda k: "".join(chr(97 + (k * 7 + rng.randrange(3) * (j + 1)) % 26) for j in range(6))
+    rows = [(8 * k + j, " ".join(word(k) for _ in range(5)), f"l{k:03d}") for k in range(230) for j in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    trained = sorted({r["lang"] for r in docs.where(~language.held_out(F.col("doc_id"))).collect()})
+    assert len(trained) > 220 and language.learn(docs).languages == trained and language.learn(docs, 50).languages == trained
+    many = [(10_000 + i, "the usual words of this one", "en") for i in range(4000)] + [(1, "seltene worte", "xx"), (2, "seltene worte", "xx"), (3, "seltene worte", "xx")]
+    assert language.learn(spark.createDataFrame(many, docs.schema), 20).languages == ["en", "xx"]
+    assert language.shares({"a": 1, "b": 100, "c": 5000}, 300) == {"a": 1, "b": 100, "c": 199} and language.shares({"a": 3, "b": 3}, 1) == {"a": 1, "b": 1}
+
+
 def test_licences(spark):
     mit = licences.KNOWN["MIT"][0]
     british = mit.replace("sublicense", "sublicence").replace("MIT License", "MIT  LICENCE")
