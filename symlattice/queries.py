@@ -244,7 +244,7 @@ def enum_lines(c: Catalog) -> DataFrame:
 
 @query
 def typedef_lines(c: Catalog) -> DataFrame:
-    return render.numbered(render.type_lines(_tag(c, "Typedef").where(F.col("sym_id") > PART + 900_000_000), c.symbols, o=PLAIN))
+    return render.numbered(render.type_lines(_tag(c, "Typedef"), c.symbols, o=PLAIN))
 
 
 @query
