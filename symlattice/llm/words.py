@@ -1,24 +1,27 @@
 """Vectorised word splitting and hashing over Arrow string columns.
 
 Words are runs of bytes outside a separator set (all separators here are ASCII,
-so UTF-8 bytes may be classified one by one).  A word's 64-bit hash is a
-polynomial over random byte values, finished with a mixing step; sequences of
-words hash by a second polynomial over the word hashes.
+so UTF-8 bytes may be classified one by one).  A word's 64-bit hash takes in its
+length, then eight bytes at a time, with a bijective mixing step after each; long
+words are hashed by BLAKE2.  Other seeds give independent hashes.  Sequences of a
+few words hash by a polynomial over the (mixed) word hashes.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 
 MASK = (1 << 64) - 1
 BASE = 0x9E3779B97F4A7C15 | 1
-INVERSE = pow(BASE, -1, 1 << 64)
-BLOCK = 1 << 20  # bytes hashed at once
+BLOCK = 1 << 20  # powers that are made at once, at least
 CHUNK = 4 << 20  # bytes of text handled at once, whole documents
+LONG = 64  # bytes of a word that are mixed in eight at a time; longer words go to BLAKE2
 
-#: Byte values, from a seeded generator.
-VALUES = np.random.default_rng(20240611).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: What a block of eight bytes keeps of its last 0 to 8.
+KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True
@@ -91,20 +94,28 @@ def split(buf: np.ndarray, off: np.ndarray, sep: np.ndarray = WHITE) -> tuple[np
     return starts, np.flatnonzero(end) + 1, np.searchsorted(starts, off)
 
 
-def hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the words, hashed in blocks of bounded size."""
-    out = np.empty(len(starts), np.uint64)
-    i = 0
-    while i < len(starts):
-        j = max(i + 1, int(np.searchsorted(ends, starts[i] + BLOCK, "right")))
-        at = starts[i]
-        part = buf[at : ends[j - 1]]
-        total = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum(VALUES[part] * powers(BASE, len(part)), dtype=np.uint64, out=total[1:])
-        s = starts[i:j] - at
-        out[i:j] = (total[ends[i:j] - at] - total[s]) * powers(INVERSE, len(part) + 1)[s]
-        i = j
-    return mix(out)
+def hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of the words."""
+    size = ends - starts
+    out = mix(size.astype(np.uint64) * np.uint64(BASE) + np.uint64(seed))
+    if not len(size):
+        return out
+    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(buf) + 1, "<u8", padded, strides=(1,))  # the eight bytes from each place
+    rows, at, left = np.arange(len(size)), starts, size
+    if size.max() > LONG:
+        rows = np.flatnonzero(size <= LONG)
+        at, left, key = starts[rows], size[rows], seed.to_bytes(8, "little")
+        for i in np.flatnonzero(size > LONG).tolist():
+            out[i] = int.from_bytes(hashlib.blake2b(buf[starts[i] : ends[i]], digest_size=8, key=key).digest(), "little")
+    h = out[rows]
+    while len(h):
+        h = mix(h ^ (eight[at] & KEEP[np.minimum(left, 8)]))
+        more = left > 8
+        done = rows[~more]
+        out[done] = h[~more]
+        rows, at, left, h = rows[more], at[more] + 8, left[more] - 8, h[more]
+    return out
 
 
 def sequences(words: np.ndarray, n: int, base: int = 0xD6E8FEB86659FD93) -> np.ndarray:
