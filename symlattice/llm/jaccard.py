@@ -4,24 +4,27 @@ Sets of sizes r <= s whose Jaccard similarity is at least 3/4 differ in at most
 k = (r + s) / 7 elements.  The join runs in bands of sizes; in a band the feature
 domain is cut into a fixed number of partitions, more than k of which hold elements
 of a set, and each subset of the set that a partition holds gives one signature.
-Two similar sets can differ in k partitions at most, so of the first k + 1
-signatures of each, in one common order, one is shared.  (This is the first level
-of the enumeration with one-partition subsets, its second-level size being one.)
-
-Signatures of partitions whose elements are all among the most widespread ones are
-left out, so that passages which many documents share bring nothing together.  A
-set with more than k signatures left is still sure to share one with every similar
-set, since of its first k + 1 at most k can fail.  A set with fewer gives all it
-has left, and single elements besides, the least widespread first, of which the
-usual prefix of a quarter and one suffices for two such sets.
-
-Candidates whose sizes or histograms (elements in each of 128 parts of the domain)
-already differ by more than k go before their sets are fetched, which is exact too.
-
-Equal sets are one class and are joined once.  Candidates that share a signature
-are compared with the least of their group first; links merge components; then the
-pairs of a group that still lie in different components are compared.  Nothing is
-left out, and members of one component are not compared with each other.
+Two similar sets differ in k partitions at most, so of the first k + 1 signatures
+of each, in any one common order, one is shared.  (This is the first level of the
+enumeration with one-partition subsets, its second-level size being one; in bands
+of small sets each element is a partition.)
+
+The common order is by the number of sets that have a signature, the fewest first,
+counted exactly over all sets.  Signatures that one set alone has come first and
+bring nothing together, so what many sets share (passages, boilerplate) makes no
+candidates unless nearly everything in a set is shared.  Counting sends every
+signature once; only those that two sets have go further.  A set with k signatures
+or fewer gives all, and single elements besides, of which the usual prefix of a
+quarter and one suffices for two such sets.
+
+Equal sets are one class and are joined once.  The classes of a group (those that
+share a signature in their prefixes) are compared with its pivot, the class most of
+whose signatures are widespread: in a group of near copies that is the text they
+were made from.  Links merge components.  Members that the pivot's component did
+not take in are then held against the others in blocks; sizes and histograms
+(elements in each of CELLS parts of the domain) rule out nearly all of those pairs
+inside the block, which is exact, and only the rest become rows and are verified.
+Nothing is left out, and members of one component are not compared with each other.
 """
 
 from __future__ import annotations
@@ -30,21 +33,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
-from .store import Scratch
+from .store import Scratch, fresh
 
 SHINGLE = 5
 TOP = 2.5  # elements a partition at the upper end of a band
 SINGLE = 16  # bands below this size have single elements as partitions
-HEAVY = 200_000  # most widespread shingles that are told apart, at most
-HEAVY_LEAST = 16
-CELLS = 128  # parts of the domain in a set's histogram
-BUCKET = 1_000_000  # signatures in a bucket, about
+CELLS = 256  # parts of the domain in a set's histogram
+BUCKET = 2_000_000  # signatures in a bucket, about
 FLUSH = 1_000_000  # signatures a task holds before it sends them
-COUNTED = 2_000_000  # shingles a task counts at once
+BLOCK = 2048  # members of a group that are held against as many others at once
 
 
 def shingle_sets(text: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -82,170 +83,235 @@ def class_keys(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-_ZERO = np.zeros(1, np.int64)
-
-
-def element_hashes(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The two hashes that signatures() takes."""
-    return (W.mix(values + np.uint64(0x2545F4914F6CDD1D)) >> np.uint64(32)).astype(np.int64), W.mix(values)
-
-
 def histograms(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """For each set, how many elements fall in each of CELLS parts of the domain; the sum of differences is at most the true difference."""
+    """For each set, how many elements fall in each of CELLS parts of the domain, 127 at most; the sum of differences is at most the true difference."""
     n = len(bounds) - 1
-    cell = (W.mix(values + np.uint64(0x71D67FFFEDA60000)) >> np.uint64(57)).astype(np.int64)
+    cell = (W.mix(values + np.uint64(0x71D67FFFEDA60000)) >> np.uint64(56)).astype(np.int64)
     doc = np.repeat(np.arange(n), np.diff(bounds))
-    return np.minimum(np.bincount(doc * CELLS + cell, minlength=n * CELLS), 30_000).astype(np.int16)
-
-
-def band_of(size: int) -> int:
-    return size.bit_length() - 1
+    return np.minimum(np.bincount(doc * CELLS + cell, minlength=n * CELLS), 127).astype(np.int8).reshape(n, CELLS)
 
 
-def partitions(band: int) -> int:
-    """Partitions of the feature domain in the band of sizes from 2**band; 0: each element is one."""
-    return 0 if 1 << band < SINGLE else int(np.ceil((2 << band) / TOP))
+def signatures(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(set, signature, list) of all sets: every list is whole, and its first so many in a common order suffice.
 
-
-def prefix(values: np.ndarray, heavy: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n values in the common order, and which of them are widespread."""
-    if n < len(values):
-        rank = np.where(heavy, np.uint64(1 << 63), np.uint64(0)) | (values >> np.uint64(1))
-        pick = np.argpartition(rank, n - 1)
-        cut = rank[pick[n - 1]]
-        pick = np.flatnonzero(rank <= cut)  # ties are all taken
-        return values[pick], heavy[pick]
-    return values, heavy
-
-
-def signatures(part: np.ndarray, heavy: np.ndarray, spread: np.ndarray, inner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(signatures, whether each is widespread) of one set.
-
-    heavy: whether each element is widespread; spread and inner: two hashes of each
-    element, by which it is dealt to partitions and by which it counts there.
+    A list's number holds, from the top, how many signatures it has, how many of them
+    suffice (30 bits), and its kind (2 bits): own band or the one above, partitions or
+    single elements.  Lists of a set have different numbers.
     """
-    size, out = len(part), []
+    size = np.diff(bounds)
     most = 4 * size // 3  # the largest set that can be similar
-    own = band_of(size)
-    for band in {own, band_of(most)}:
-        largest = min(most, (2 << band) - 1)
-        k = (size + largest) // 7
-        n = partitions(band)
-        if n:
-            place = spread * n >> 32
-            order = np.argsort(place, kind="stable")
-            dealt = place[order]
-            edge = np.concatenate([_ZERO, np.flatnonzero(dealt[1:] != dealt[:-1]) + 1])
-            rare = np.flatnonzero(~np.logical_and.reduceat(heavy[order], edge))
-            sums = np.add.reduceat(inner[order], edge)[rare]
-            values = W.mix(sums + dealt[edge][rare].astype(np.uint64) * np.uint64(0x9FB21C651E98DF25) + np.uint64(band))
-            out.append(prefix(values, np.zeros(len(values), bool), k + 1))
-        if not n or len(values) <= k:
-            values = W.mix(part ^ np.uint64(0x5851F42D4C957F2D + band))
-            out.append(prefix(values, heavy, size - (3 * size + 3) // 4 + 1))
-    return np.concatenate([v for v, _ in out]), np.concatenate([h for _, h in out])
+    own, above = (np.frexp(np.maximum(x, 1))[1].astype(np.int64) - 1 for x in (size, most))
+    spread = (W.mix(values + np.uint64(0x2545F4914F6CDD1D)) >> np.uint64(32)).astype(np.int64)
+    inner = W.mix(values)
+    owner = np.repeat(np.arange(len(size)), size)
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def add(doc: np.ndarray, sig: np.ndarray, need: np.ndarray, kind: int) -> np.ndarray:
+        total = np.bincount(doc, minlength=len(size))
+        out.append((doc, sig, ((total << 32) | (need << 2) | kind)[doc]))
+        return total
+
+    def singles(chosen: np.ndarray, band: np.ndarray, kind: int) -> None:
+        here = chosen[owner]
+        doc = owner[here]
+        add(doc, W.mix(values[here] ^ (np.uint64(0x5851F42D4C957F2D) + band[doc].astype(np.uint64))), size - (3 * size + 3) // 4 + 1, kind)
+
+    for kind, (band, chosen) in enumerate(((own, size > 0), (above, (size > 0) & (above > own)))):
+        small = 1 << band < SINGLE
+        singles(chosen & small, band, kind)
+        chosen = chosen & ~small
+        k = (size + np.minimum(most, (2 << band) - 1)) // 7
+        parts = np.where(chosen, np.ceil((2 << band) / TOP).astype(np.int64), 0)
+        base = np.cumsum(parts) - parts
+        here = chosen[owner]
+        doc = owner[here]
+        place = base[doc] + (spread[here] * parts[doc] >> 32)
+        sums = np.zeros(int(parts.sum()), np.uint64)
+        np.add.at(sums, place, inner[here])
+        held = np.flatnonzero(np.bincount(place, minlength=len(sums)))
+        doc = np.repeat(np.arange(len(size)), parts)[held]
+        sig = W.mix(sums[held] + (held - base[doc]).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25) + band[doc].astype(np.uint64))
+        total = add(doc, sig, k + 1, kind)
+        singles(chosen & (total <= k), band, kind + 2)
+    return tuple(np.concatenate(x) for x in zip(*out))
 
 
 def _describe(docs: DataFrame) -> DataFrame:
-    """doc_id, n, class for each row (count null), and shingle (as class), count of those seen thrice in one part."""
+    """doc_id, n, class, cells for each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        held, size = [], 0
-
-        def counted() -> pa.RecordBatch:
-            nonlocal held, size
-            value, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            value, n = value[n > 2], n[n > 2]
-            held, size = [], 0
-            return pa.RecordBatch.from_pydict({"doc_id": pa.nulls(len(n), pa.int64()), "n": pa.nulls(len(n), pa.int64()), "class": pa.array(value.view(np.int64)), "count": pa.array(n), "cells": pa.nulls(len(n), pa.list_(pa.int16()))})
-
         for b in batches:
-            ids, n, keys, cells = b["doc_id"], np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64), []
             for at, values, bounds in shingle_sets(b["text"]):
-                upto = at + len(bounds) - 1
-                n[at:upto] = np.diff(bounds)
-                keys[at:upto] = class_keys(values, bounds)
-                cells.append(histograms(values, bounds))
-                for d, key in enumerate(keys[at:upto].tolist()):
-                    if bounds[d] < bounds[d + 1] and key not in seen:
-                        seen.add(key)
-                        held.append(values[bounds[d] : bounds[d + 1]])
-                        size += len(held[-1])
-                        if size > COUNTED:
-                            yield counted()
-            yield pa.RecordBatch.from_pydict({"doc_id": ids, "n": pa.array(n), "class": pa.array(keys, mask=n == 0), "count": pa.nulls(len(n), pa.int64()), "cells": pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * CELLS, pa.int32()), pa.array(np.concatenate(cells) if cells else np.zeros(0, np.int16)))})
-        yield counted()
+                n = np.diff(bounds)
+                cells = histograms(values, bounds)
+                data = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((np.arange(len(n) + 1) * CELLS).astype(np.int32)), pa.py_buffer(cells.tobytes())])
+                yield pa.RecordBatch.from_pydict({"doc_id": b["doc_id"].slice(at, len(n)), "n": pa.array(n), "class": pa.array(class_keys(values, bounds), mask=n == 0), "cells": data})
 
-    return docs.mapInArrow(run, "doc_id long, n long, class long, count long, cells array<smallint>")
+    return docs.mapInArrow(run, "doc_id long, n long, class long, cells binary")
 
 
-def _blobs(docs: DataFrame, heavy: np.ndarray, buckets: int) -> DataFrame:
-    """bucket int, sigs binary, classes binary: signatures dealt by their top bits; widespread ones apart, bucket < 0."""
-    sent = docs.sparkSession.sparkContext.broadcast(heavy)  # HEAVY numbers at most
+def _blobs(docs: DataFrame, buckets: int) -> DataFrame:
+    """bucket, sigs (32 bits each), classes, lists, runs: signatures dealt by their top bits; a run of them has one class and list."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, seen, held, size, turn = sent.value, set(), [], 0, 0
+        seen: set[int] = set()
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        size = 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal held, size, turn
-            sig, cls, wide = (np.concatenate(x) for x in zip(*held)) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool))
+            sig, cls, code = (np.concatenate(x) for x in zip(*held))
+            held.clear()
             bucket = ((sig >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-            turn += 1
-            bucket[wide] = -1 - (bucket[wide] + turn) % buckets
             order = np.argsort(bucket, kind="stable")
-            bucket, sig, cls = bucket[order], sig[order], cls[order]
-            edge = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, np.int64)
-            ends = np.r_[edge[1:], len(bucket)].astype(np.int64)
-            held, size = [], 0
-            return pa.RecordBatch.from_pydict({"bucket": pa.array(bucket[edge], pa.int64()), "sigs": pa.array([sig[a:z].tobytes() for a, z in zip(edge, ends)], pa.binary()), "classes": pa.array([cls[a:z].tobytes() for a, z in zip(edge, ends)], pa.binary())})
+            bucket, sig, cls, code = bucket[order], sig[order].astype(np.uint32), cls[order], code[order]
+            change = bucket[1:] != bucket[:-1]
+            edge = np.flatnonzero(np.r_[True, change])
+            begin = np.flatnonzero(np.r_[True, change | (cls[1:] != cls[:-1]) | (code[1:] != code[:-1])])
+            reps = np.diff(np.r_[begin, len(sig)]).astype(np.uint32)
+            first = np.r_[np.searchsorted(begin, edge), len(begin)]
+            edge = np.r_[edge, len(sig)]
+            cut = lambda x, at: pa.array([x[a:z].tobytes() for a, z in zip(at[:-1], at[1:])], pa.binary())
+            return pa.RecordBatch.from_pydict({"bucket": pa.array(bucket[edge[:-1]]), "sigs": cut(sig, edge), "classes": cut(cls[begin], first), "lists": cut(code[begin], first), "runs": cut(reps, first)})
 
         for b in batches:
             for _, values, bounds in shingle_sets(b["text"]):
-                at = np.minimum(np.searchsorted(common, values), max(0, len(common) - 1))
-                wide = common[at] == values if len(common) else np.zeros(len(values), bool)
-                spread, inner = element_hashes(values)
-                for d, key in enumerate(class_keys(values, bounds).tolist()):
-                    own = slice(bounds[d], bounds[d + 1])
-                    if own.start == own.stop or key in seen:
-                        continue
-                    seen.add(key)
-                    sig, common_sig = signatures(values[own], wide[own], spread[own], inner[own])
-                    held.append((sig, np.full(len(sig), key, np.int64), common_sig))
-                    size += len(sig)
-                    if size > FLUSH:
-                        yield flush()
-        yield flush()
-
-    return docs.mapInArrow(run, "bucket long, sigs binary, classes binary")
+                keys = class_keys(values, bounds)
+                new = np.zeros(len(keys), bool)
+                for d, key in enumerate(keys.tolist()):
+                    if bounds[d] < bounds[d + 1] and key not in seen:
+                        seen.add(key)
+                        new[d] = True
+                if not new.any():
+                    continue
+                doc, sig, code = signatures(values[np.repeat(new, np.diff(bounds))], np.r_[0, np.cumsum(np.diff(bounds)[new])])
+                held.append((sig, keys[new][doc], code))
+                size += len(sig)
+                if size > FLUSH:
+                    yield flush()
+                    size = 0
+        if held:
+            yield flush()
+
+    return docs.mapInArrow(run, "bucket long, sigs binary, classes binary, lists binary, runs binary")
 
 
 def _meet(blobs: pa.Table) -> pa.Table:
-    """group, class: classes of one bucket that share a signature, each distinct group once; widespread ones pass."""
-    sig = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for c in blobs["sigs"].chunks for x in c])
-    cls = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for c in blobs["classes"].chunks for x in c])
-    if blobs["bucket"][0].as_py() >= 0:
-        order = np.argsort(sig, kind="stable")
-        sig, cls = sig[order], cls[order]
-        same = sig[1:] == sig[:-1]
-        keep = np.r_[same, False] | np.r_[False, same] if len(sig) else np.zeros(0, bool)
-        sig, cls = sig[keep], cls[keep]
-        order = np.lexsort((cls, sig))
-        sig, cls = sig[order], cls[order]
-        new = np.ones(len(sig), bool)
-        new[1:] = (sig[1:] != sig[:-1]) | (cls[1:] != cls[:-1])
-        sig, cls = sig[new], cls[new]
-        if len(sig):
-            edge = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
-            size = np.diff(np.r_[edge, len(sig)])
-            name = W.mix(np.add.reduceat(W.mix(cls.view(np.uint64)), edge) + size.astype(np.uint64))
-            _, first = np.unique(name, return_index=True)
-            chosen = np.zeros(len(edge), bool)
-            chosen[first] = True
-            chosen &= size > 1
-            rows = np.repeat(chosen, size)
-            sig, cls = np.repeat(name, size)[rows], cls[rows]
-    return pa.table({"group": pa.array(sig.view(np.int64)), "class": pa.array(cls)})
+    """sig, class, list, n: the signatures of one bucket that n classes have, two at least."""
+    whole = lambda name, kind: np.concatenate([np.frombuffer(x.as_buffer(), kind) for c in blobs[name].chunks for x in c])
+    sig, runs = whole("sigs", np.uint32), whole("runs", np.uint32)
+    row = np.repeat(np.arange(len(runs), dtype=np.int32), runs)
+    order = np.argsort(sig, kind="stable")
+    sig = sig[order]
+    same = sig[1:] == sig[:-1]
+    keep = np.flatnonzero(np.r_[same, False] | np.r_[False, same])
+    sig, row = sig[keep].astype(np.int64), row[order[keep]]
+    cls, code = whole("classes", np.int64)[row], whole("lists", np.int64)[row]
+    order = np.lexsort((cls, sig))
+    sig, cls, code = sig[order], cls[order], code[order]
+    new = np.ones(len(sig), bool)  # a class that several tasks have seen counts once
+    new[1:] = (sig[1:] != sig[:-1]) | (cls[1:] != cls[:-1])
+    sig, cls, code = sig[new], cls[new], code[new]
+    edge = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]]) if len(sig) else np.zeros(0, np.int64)
+    size = np.diff(np.r_[edge, len(sig)])
+    n = np.repeat(size, size)
+    keep = n > 1
+    return pa.table({"sig": pa.array((blobs["bucket"][0].as_py() << 32 | sig)[keep]), "class": pa.array(cls[keep]), "list": pa.array(code[keep]), "n": pa.array(n[keep])})
+
+
+def _prefixes(shared: DataFrame) -> DataFrame:
+    """sig, class, score: of each list the first signatures, by how many classes have them; those of one class alone come before all that are here.
+
+    score: how widespread a class's signatures are on the whole.
+    """
+    own = Window.partitionBy("class", "list")
+    total, need = F.shiftright("list", 32), F.shiftright("list", 2).bitwiseAND(F.lit((1 << 30) - 1))
+    ranked = shared.withColumn("_rank", F.row_number().over(own.orderBy("n", "sig"))).withColumn("_here", F.count("*").over(own)).withColumn("score", F.sum(F.log2("n")).over(own) / total)
+    return ranked.where(F.col("_rank") <= F.col("_here") - (total - need)).select("sig", "class", "score")
+
+
+def _groups(prefixes: DataFrame) -> DataFrame:
+    """group, class, pivot: classes that share a signature of their prefixes; of equal groups one stays."""
+    top = F.max(F.struct("score", "class"))["class"].alias("pivot")
+    made = prefixes.groupBy("sig").agg(F.count("*").alias("_n"), F.bit_xor(F.xxhash64("class")).alias("_x"), F.bit_xor(F.xxhash64("class", F.lit(1))).alias("_y"), top).where("_n > 1")
+    once = made.groupBy("_n", "_x", "_y").agg(F.min(F.struct("sig", "pivot")).alias("_g")).select("_g.sig", "_g.pivot")
+    return prefixes.join(once, "sig").select(F.col("sig").alias("group"), "class", "pivot")
+
+
+def _apart(n: np.ndarray, cells: np.ndarray, m: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Whether sizes n and m, or their histograms, rule similarity out."""
+    return (100 * np.minimum(n, m) < 75 * np.maximum(n, m)) | (7 * np.abs(cells.astype(np.int16) - others).sum(-1) > n + m)
+
+
+def _cells(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.int8).reshape(-1, CELLS)
+
+
+def _possible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """a, b, na, nb: the pairs that sizes and histograms leave possible; similar sets differ in (na + nb) / 7 elements at most."""
+    of = lambda x: classes.select(F.col("class").alias(x), F.col("n").alias(f"n{x}"), F.col("cells").alias(f"c{x}"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            na, nb = b["na"].to_numpy(), b["nb"].to_numpy()
+            keep = pa.array(~_apart(na, _cells(b["ca"]), nb, _cells(b["cb"])))
+            yield b.select(["a", "b", "na", "nb"]).filter(keep)
+
+    return pairs.distinct().join(of("a"), "a").join(of("b"), "b").select("a", "b", "na", "nb", "ca", "cb").mapInArrow(run, "a long, b long, na long, nb long")
+
+
+def _strays(groups: DataFrame, roots: DataFrame, classes: DataFrame) -> DataFrame:
+    """a, b: pairs of a group that lie in different components and that sizes and histograms leave possible.
+
+    A group's main component is the one with most of its members.  The others are its
+    strays; they are held against all members, in blocks of both.
+    """
+    placed = groups.where("class <> pivot").select("group", "class").join(roots, F.col("class") == F.col("node"), "left").select("group", "class", F.coalesce("root", "class").alias("root"))
+    mixed = placed.groupBy("group", "root").agg(F.count("*").alias("_n")).groupBy("group").agg(F.max(F.struct("_n", "root")).alias("_m"), F.sum("_n").alias("_all")).where("_all > _m._n")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    mixed = mixed.select("group", F.col("_m.root").alias("_main"), blocks(F.col("_all")).alias("_mb"), blocks(F.col("_all") - F.col("_m._n")).alias("_sb"))
+    rows = placed.join(mixed, "group").join(classes.select("class", "n", "cells"), "class").withColumn("stray", F.col("root") != F.col("_main"))
+    place = lambda n: F.pmod(F.xxhash64("class", F.lit(3)), n).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    columns = ("group", "class", "root", "n", "cells", "stray")
+    members = rows.select(*columns, F.lit(False).alias("held"), place(F.col("_mb")).alias("i"), each(F.col("_sb")).alias("j"))
+    strays = rows.where("stray").select(*columns, F.lit(True).alias("held"), each(F.col("_mb")).alias("i"), place(F.col("_sb")).alias("j"))
+    dealt = members.unionByName(strays).repartition("group", "i", "j").sortWithinPartitions("group", "i", "j")
+
+    def block(t: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        held = t["held"].to_numpy(zero_copy_only=False)
+        cls, root, n, stray, cells = t["class"].to_numpy(), t["root"].to_numpy(), t["n"].to_numpy(), t["stray"].to_numpy(zero_copy_only=False), _cells(t["cells"])
+        member, a, b = np.flatnonzero(~held), [], []
+        for k in np.flatnonzero(held).tolist():
+            other = member[(root[member] != root[k]) & (~stray[member] | (cls[member] > cls[k]))]
+            other = other[~_apart(n[k], cells[k], n[other], cells[other])] if len(other) else other
+            a.append(np.minimum(cls[k], cls[other]))
+            b.append(np.maximum(cls[k], cls[other]))
+        none = np.zeros(0, np.int64)
+        return np.concatenate([none, *a]), np.concatenate([none, *b])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[pa.RecordBatch] = []
+        last = None
+        for t in batches:
+            if not t.num_rows:
+                continue
+            key = np.stack([t[c].to_numpy() for c in ("group", "i", "j")])
+            edges = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1).tolist(), t.num_rows]
+            found = []
+            for x, z in zip(edges[:-1], edges[1:]):
+                if rest and tuple(key[:, x]) != last:
+                    found.append(block(pa.concat_batches(rest)))
+                    rest = []
+                rest.append(t.slice(x, z - x))
+                last = tuple(key[:, x])
+            if found:
+                a, b = (np.concatenate(y) for y in zip(*found))
+                yield pa.RecordBatch.from_pydict({"a": pa.array(a), "b": pa.array(b)})
+        if rest:
+            a, b = block(pa.concat_batches(rest))
+            yield pa.RecordBatch.from_pydict({"a": pa.array(a), "b": pa.array(b)})
+
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def _sets(docs: DataFrame) -> DataFrame:
@@ -296,66 +362,48 @@ def join(docs: DataFrame) -> DataFrame:
     Null and empty texts and texts without words have no shingles and are linked
     with nothing.  Fewer than five words are one shingle.  Rows without doc_id are
     linked with nothing and have no component.  Repeated rows each give a row; rows
-    that share a doc_id but not a text are compared each by its own text.
+    that share a doc_id but not a text are compared each by its own text.  An empty
+    table gives no rows.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    described = scratch.write(_describe(docs), "described")
-    members = described.where("count is null").drop("count")
+    members = scratch.write(_describe(docs), "described").withColumn("class", F.when(F.col("doc_id").isNotNull(), F.col("class")))
     shingles = members.agg(F.sum("n")).first()[0] or 0
-    counts = described.where("count is not null").groupBy("class").agg(F.sum("count").alias("n")).where(F.col("n") >= HEAVY_LEAST)
-    widest = counts.orderBy(F.desc("n"), "class").limit(HEAVY).select("class").collect()  # HEAVY numbers at most
-    heavy = np.sort(np.array([r[0] for r in widest], np.int64).view(np.uint64))
-    members = members.withColumn("class", F.when(F.col("doc_id").isNotNull(), F.col("class")))
-    classes = members.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("first"), F.min("n").alias("n"), F.first("cells").alias("cells"))
-    buckets = max(32, int(shingles // (2 * BUCKET)))
-    blobs = _blobs(docs.where("doc_id is not null"), heavy, buckets)
-    groups = scratch.write(blobs.groupBy("bucket").applyInArrow(_meet, "group long, class long"), "groups")
+    classes = scratch.write(members.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("first"), F.min("n").alias("n"), F.first("cells").alias("cells")), "classes")
+    # A shingle gives about three quarters of a signature.
+    blobs = _blobs(docs.where("doc_id is not null"), max(32, int(0.75 * shingles // BUCKET)))
+    shared = blobs.groupBy("bucket").applyInArrow(_meet, "sig long, class long, list long, n long")
+    prefixes = scratch.write(_prefixes(shared), "prefixes")
     scratch.release()
-
-    # The least class of each group against all others.
-    pivots = groups.groupBy("group").agg(F.min("class").alias("pivot"), F.max("class").alias("_last")).where("pivot < _last").drop("_last")
-    sizes = scratch.write(classes, "classes")
-    na, nb = sizes.select(F.col("class").alias("a"), F.col("n").alias("na"), F.col("cells").alias("ca")), sizes.select(F.col("class").alias("b"), F.col("n").alias("nb"), F.col("cells").alias("cb"))
-    near = 100 * F.least("na", "nb") >= 75 * F.greatest("na", "nb")
-    apart_by = F.aggregate(F.zip_with("ca", "cb", lambda x, y: F.abs(x.cast("int") - y.cast("int"))), F.lit(0), lambda total, x: total + x)
-
-    def sized(pairs: DataFrame) -> DataFrame:
-        """Pairs whose sizes and histograms leave similarity possible: similar sets differ in (na + nb) / 7 elements at most."""
-        return pairs.distinct().join(na, "a").join(nb, "b").where(near).where(7 * apart_by <= F.col("na") + F.col("nb")).drop("ca", "cb")
-
-    stars = groups.join(pivots, "group").where("class <> pivot").select(F.col("pivot").alias("a"), F.col("class").alias("b"))
-    stars = scratch.write(sized(stars), "stars")
+    groups = scratch.write(_groups(prefixes), "groups")
+    scratch.drop("prefixes")
 
     def sets_of(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
-        wanted = wanted.join(sizes, "class").select(F.col("first").alias("doc_id"))
+        wanted = wanted.join(classes, "class").select(F.col("first").alias("doc_id"))
         # A repeated row gives its set twice and a link twice; links are made distinct later.
         return _sets(docs.join(wanted, "doc_id", "left_semi"))
 
+    stars = groups.where("class <> pivot").select(F.least("class", "pivot").alias("a"), F.greatest("class", "pivot").alias("b"))
+    stars = scratch.write(_possible(stars, classes), "stars")
     sets = scratch.write(sets_of(stars), "sets")
     links = scratch.write(links_between(stars, sets), "links")
     scratch.drop("sets")
     scratch.release()
     roots = components(links, scratch, "first")
 
-    # Pairs of a group whose classes are still apart.
-    placed = groups.join(roots, groups["class"] == roots["node"], "left").select("group", "class", F.coalesce("root", "class").alias("root"))
-    apart = placed.groupBy("group").agg(F.min("root").alias("_low"), F.max("root").alias("_high"), F.count("*").alias("_n")).where("_low < _high and _n > 2").select("group")
-    placed = scratch.write(placed.join(apart, "group"), "apart")
+    rest = _strays(groups, roots, classes).distinct().join(stars.select("a", "b"), ["a", "b"], "left_anti")
+    rest = scratch.write(rest.join(classes.select(F.col("class").alias("a"), F.col("n").alias("na")), "a").join(classes.select(F.col("class").alias("b"), F.col("n").alias("nb")), "b"), "rest")
     scratch.drop("groups")
-    other = placed.select("group", F.col("class").alias("b"), F.col("root").alias("_root"))
-    rest = placed.withColumnRenamed("class", "a").join(other, "group").where("a < b and root <> _root").select("a", "b")
-    rest = scratch.write(sized(rest).join(stars.select("a", "b"), ["a", "b"], "left_anti"), "rest")
     if rest.take(1):
         more = scratch.write(sets_of(rest), "more")
-        links = scratch.write(links.unionByName(links_between(rest, more).select("a", "b")), "all")
+        links = scratch.write(links.unionByName(links_between(rest, more)), "all")
         scratch.drop("more")
         roots = components(links, scratch, "second")
     named = roots.unionByName(roots.select(F.col("root").alias("node"), "root")).distinct()
     scratch.release()
-    named = sizes.join(named, sizes["class"] == named["node"], "left").select("class", "first", F.coalesce("root", "class").alias("root"))
+    named = classes.join(named, classes["class"] == named["node"], "left").select("class", "first", F.coalesce("root", "class").alias("root"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     of = scratch.write(named.join(least, "root").select("class", "component_id"), "components")
     out = members.drop("cells").join(of, "class", "left")
@@ -368,6 +416,7 @@ def report(docs: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame) -> DataFrame:
     """The document of least id of each group; documents without words or without an id all stay."""
-    kept = join(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
+    name = fresh(docs, "_kept")
+    kept = join(docs).where("doc_id = component_id").select(F.col("doc_id").alias(name)).distinct()
     alone = docs.where("doc_id is null")
-    return docs.join(kept, F.col("doc_id").cast("bigint") == F.col("_kept"), "left_semi").select(*docs.columns).unionByName(alone)
+    return docs.join(kept, F.col("doc_id").cast("bigint") == F.col(name), "left_semi").select(*docs.columns).unionByName(alone)

@@ -48,3 +48,11 @@ class Scratch:
         """Lets Spark's cleaner remove the shuffle files of frames that are no longer referenced."""
         gc.collect()
         self.spark._jvm.System.gc()
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """name, with as many underscores added as keep it apart from the columns of df."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -66,6 +66,22 @@ def test_words(corpus):
         assert len(set(seen.values())) == len(seen)
 
 
+def thue_morse(n):
+    """n letters a and b, and the same with the letters changed over: polynomials modulo a power of two take them for one."""
+    bits = [bin(k).count("1") & 1 for k in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+@pytest.mark.parametrize("n", [8, 16, 64, 72, 1024, 2048, 4096])
+def test_words_that_polynomials_confuse(n):
+    one, other = (t.encode() for t in thue_morse(n))
+    buf = np.frombuffer(one + b" " + other + b" " + one, np.uint8)
+    for seed in (0, 1):
+        h = W.hashes(buf, np.array([0, n + 1, 2 * n + 2]), np.array([n, 2 * n + 1, 3 * n + 2]), seed)
+        assert h[0] == h[2] != h[1]
+    assert W.hashes(buf, np.array([0]), np.array([n]))[0] != W.hashes(buf, np.array([0]), np.array([n]), 1)[0]
+
+
 def test_substring_dedup(spark, corpus):
     first = {}
     for i, t in corpus:
@@ -227,6 +243,40 @@ def test_jaccard_chains_and_edges(spark):
     assert jaccard.join(table(spark, chain).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("block", [4, 2048])
+def test_jaccard_strays(spark, monkeypatch, block):
+    """Copies so far from the text they were made from that many are not linked to it, but some to each other."""
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    rng, rows = random.Random(12), []
+    for g in range(3):
+        base = [f"g{g}.{k}" for k in range(150)]
+        for c in range(40):
+            own = list(base)
+            for k in rng.sample(range(150), rng.randrange(1, 9)):
+                own[k] = f"e{g}.{c}.{k}"
+            rows.append((100 * g + c, " ".join(own)))
+            if c % 8 == 0:
+                own[75] = "again"
+                rows.append((100 * g + 50 + c, " ".join(own)))
+    want = linked(rows)
+    strays = {i for i, (_, c) in want.items() if c not in (0, 100, 200)}
+    assert len({c for _, c in want.values()}) > 6 and strays
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.join(table(spark, rows)).collect()} == want
+
+
+def test_jaccard_tells_confusing_words_apart(spark):
+    one, other = thue_morse(1024)
+    rows = [(1, f"a b c d {one}"), (2, f"a b c d {other}"), (3, f"a b c d {one}"), (4, one), (5, other)]
+    assert {r["doc_id"]: r["component_id"] for r in jaccard.join(table(spark, rows)).collect()} == {1: 1, 2: 2, 3: 1, 4: 4, 5: 5}
+
+
+@pytest.mark.parametrize("name", ["_kept", "_KEPT", "component_id", "class"])
+def test_jaccard_clean_with_clashing_names(spark, name):
+    docs = spark.createDataFrame([(1, "a b", 7), (2, "A B", 8), (3, None, 9)], f"doc_id long, text string, `{name}` long")
+    assert sorted(map(tuple, jaccard.clean(docs).collect())) == [(1, "a b", 7), (3, None, 9)]
+    assert jaccard.clean(docs).columns == docs.columns
+
+
 def test_signatures_never_miss():
     rng = np.random.default_rng(4)
     for size in [*range(1, 90), 127, 128, 129, 171, 255, 256, 300, 511, 512, 1000]:
@@ -239,10 +289,16 @@ def test_signatures_never_miss():
             both = len(np.intersect1d(a, b))
             if 100 * both < 75 * (n + len(b) - both):
                 continue
-            for share in (0.0, 0.3, 1.0):
-                wide = {x for x in np.union1d(a, b).tolist() if W.mix(np.array([x], np.uint64))[0] < share * 2.0**64}
-                sigs = [set(jaccard.signatures(x, np.array([v in wide for v in x.tolist()]), *jaccard.element_hashes(x))[0].tolist()) for x in (a, b)]
-                assert sigs[0] & sigs[1], (n, len(b), both)
+            lists = [{}, {}]
+            for x, own in zip((a, b), lists):
+                _, sigs, codes = jaccard.signatures(x, np.array([0, len(x)]))
+                for sig, code in zip(sigs.tolist(), codes.tolist()):
+                    own.setdefault(code, []).append(sig)
+                assert all(len(v) == code >> 32 for code, v in own.items())
+            for order in range(4):  # whatever the common order, the first so many of each list share one
+                rank = lambda x: int(W.mix(np.array([x ^ order * 977], np.uint64))[0])  # noqa: E731, B023
+                first = [{x for code, v in own.items() for x in sorted(v, key=rank)[: code >> 2 & (1 << 30) - 1]} for own in lists]
+                assert first[0] & first[1], (n, len(b), both)
 
 
 def test_packing(spark, corpus):
