@@ -26,9 +26,10 @@ from .store import Scratch
 
 WINDOW = 2048
 END = 1  # id after each document
-CACHE = 1_500_000  # distinct words whose ids a worker keeps
+CACHE = 64 << 20  # bytes of words and ids that a worker keeps
+WORDS = 400_000  # words that are looked up at once
 TASKS = 1_000_000  # totals of more tasks than these (16 bytes each) are not broadcast
-PIECES = 300_000  # and pieces of words
+PIECES = 50_000  # pieces of words whose ids a worker keeps
 
 
 def _bytes() -> list[str]:
@@ -41,10 +42,68 @@ def _bytes() -> list[str]:
 BYTES = _bytes()
 
 
+class Store:
+    """Distinct words and their ids, by 64-bit keys; it forgets all when they take more than CACHE bytes."""
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
+        none = np.zeros(0, np.int32)
+        self.keys, self.rows = np.zeros(0, np.uint64), none  # sorted by key
+        self.words, self.at, self.size = np.zeros(8, np.uint8), none, none
+        self.ids, self.first, self.n = np.zeros(0, np.uint32), none, none
+
+    def full(self) -> bool:
+        return self.words.nbytes + self.ids.nbytes + 28 * len(self.keys) > CACHE
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The row of each key, or -1."""
+        if not len(self.keys):
+            return np.full(len(keys), -1)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.rows[at], -1)
+
+    def add(self, keys: np.ndarray, words: list[bytes], ids: list[list[int]]) -> None:
+        after = lambda sizes, begin: (begin + np.cumsum(sizes) - sizes).astype(np.int32)
+        size, n = (np.fromiter(map(len, x), np.int32, len(x)) for x in (words, ids))
+        self.at, self.first = np.r_[self.at, after(size, len(self.words) - 8)], np.r_[self.first, after(n, len(self.ids))]
+        rows = len(self.size) + np.arange(len(keys), dtype=np.int32)
+        self.size, self.n = np.r_[self.size, size], np.r_[self.n, n]
+        self.words = np.concatenate([self.words[:-8], np.frombuffer(b"".join(words), np.uint8), np.zeros(8, np.uint8)])
+        self.ids = np.concatenate([self.ids, np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(n.sum()))])
+        keys, rows = np.concatenate([self.keys, keys]), np.concatenate([self.rows, rows])
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.rows = keys[order], rows[order]
+
+    def differ(self, rows: np.ndarray, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Which words of buf are not, byte for byte, those of the rows."""
+        left = ends - starts
+        out = left != self.size[rows]
+        # Of equal length, words of up to eight bytes differ if their keys do.
+        todo = np.flatnonzero(~out & (left > 8))
+        here, there = np.ndarray(max(0, len(buf) - 7), "<u8", buf, strides=(1,)), np.ndarray(len(self.words) - 7, "<u8", self.words, strides=(1,))
+        at, own, left = starts[todo], self.at[rows[todo]].astype(np.int64), left[todo]
+        step = np.minimum(left - 8, 8)  # the last eight bytes overlap those before
+        out[todo[here[at] != there[own]]] = True
+        while len(todo):
+            at, own, left = at + step, own + step, left - step
+            out[todo[here[at] != there[own]]] = True
+            more = (left > 8) & ~out[todo]
+            todo, at, own, left = todo[more], at[more], own[more], left[more]
+            step = np.minimum(left - 8, 8)
+            if len(todo) < 9 and len(todo) and left.max() > 4096:  # a few very long words
+                for k, a, o, n in zip(todo.tolist(), at.tolist(), own.tolist(), left.tolist()):
+                    out[k] = not np.array_equal(buf[a : a + n], self.words[o : o + n])
+                break
+        return out
+
+
 class Encoder:
     """Ids by the tokenizers library, a word at a time: the tokenizer never joins across ASCII white space.
 
-    Words of a batch are told apart by 64-bit hashes and encoded once.  A word of
+    Words are told apart by 64-bit hashes and encoded once; each is compared with the
+    stored one, and a word that only shares the hash gets another key.  A word of
     Western letters with signs around them needs no normaliser and goes to the
     library's BPE model piece by piece; any other word goes to the tokenizer.
     """
@@ -57,13 +116,8 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.clear()
-
-    def clear(self) -> None:
-        self.place: dict[int, int] = {}
+        self.store = Store()
         self.pieces: dict[str, list[int]] = {}
-        self.counts, self.starts, self.pool = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
-        self.size = 0
 
     def piece(self, text: str) -> list[int]:
         ids = self.pieces.get(text)
@@ -82,34 +136,36 @@ class Encoder:
             return (self.piece(m[1]) if m[1] else []) + self.piece(m[2].lower()) + (self.piece(m[3]) if m[3] else [])
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def learn(self, keys: list[int], words: list[bytes]) -> None:
-        ids = [self.word(w) for w in words]
-        n = np.fromiter(map(len, ids), np.int64, len(ids))
-        first = len(self.place)
-        self.place.update(zip(keys, range(first, first + len(keys))))
-        self.counts.append(n)
-        self.starts.append(self.size + np.cumsum(n) - n)
-        self.pool.append(np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(n.sum())))
-        self.size += int(n.sum())
-        self.counts, self.starts, self.pool = ([np.concatenate(x)] for x in (self.counts, self.starts, self.pool))
+    def places(self, buf: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+        """The store's row of each word."""
+        keys, out, todo = W.hashes(buf, s, e), np.empty(len(s), np.int64), np.arange(len(s))
+        while len(todo):
+            some, at, back = np.unique(keys[todo], return_index=True, return_inverse=True)
+            rows = self.store.find(some)
+            new = np.flatnonzero(rows < 0)
+            if len(new):
+                words = [buf[a:b].tobytes() for a, b in zip(s[todo[at[new]]].tolist(), e[todo[at[new]]].tolist())]
+                rows[new] = len(self.store.size) + np.arange(len(new))
+                self.store.add(some[new], words, [self.word(w) for w in words])
+            out[todo] = rows[back]
+            todo = todo[self.store.differ(out[todo], buf, s[todo], e[todo])]
+            keys[todo] = W.mix(keys[todo] + np.uint64(1))
+        return out
 
     def __call__(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all documents, each closed by END; first id of each document, and the total)."""
         s, e, first = W.split(buf, off)
-        if len(self.place) > CACHE:
-            self.clear()
-        keys, at, back = np.unique(W.hashes(buf, s, e), return_index=True, return_inverse=True)
-        known = self.place
-        new = [i for i, k in enumerate(keys.tolist()) if k not in known]
-        if new:
-            data, where = buf.tobytes(), at[new]
-            self.learn(keys[new].tolist(), [data[a:b] for a, b in zip(s[where].tolist(), e[where].tolist())])
-        row = np.fromiter(map(known.__getitem__, keys.tolist()), np.int64, len(keys))[back]
-        n = self.counts[0][row]
-        ends = np.cumsum(n)
-        source = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.starts[0][row] - (ends - n), n)
-        upto = np.r_[0, ends][first]  # ids before each document, without the closing ones
-        return np.insert(self.pool[0][source], upto[1:], np.uint32(END)), upto + np.arange(len(upto))
+        counts, parts = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
+        for i in range(0, len(s), WORDS):
+            if self.store.full():
+                self.store.clear()
+            row = self.places(buf, s[i : i + WORDS], e[i : i + WORDS])
+            n = self.store.n[row].astype(np.int64)
+            ends = np.cumsum(n)
+            counts.append(n)
+            parts.append(self.store.ids[np.arange(int(ends[-1])) + np.repeat(self.store.first[row] - (ends - n), n)])
+        upto = np.r_[0, np.cumsum(np.concatenate(counts))][first]  # ids before each document, without the closing ones
+        return np.insert(np.concatenate(parts), upto[1:], np.uint32(END)), upto + np.arange(len(upto))
 
 
 _encoders: dict[str, Encoder] = {}

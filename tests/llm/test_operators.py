@@ -66,6 +66,9 @@ def test_words(corpus):
         assert len(set(seen.values())) == len(seen)
 
 
+real_hashes = W.hashes
+
+
 def thue_morse(n):
     """n letters a and b, and the same with the letters changed over: polynomials modulo a power of two take them for one."""
     bits = [bin(k).count("1") & 1 for k in range(n)]
@@ -326,6 +329,41 @@ def test_packing(spark, corpus):
     assert packing.pack(table(spark, rows).limit(0), path).count() == 0
 
 
+def test_encoder_tells_words_of_one_hash_apart(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = packing.default_path()
+    tokenizer = Tokenizer.from_file(path)
+    texts = [*thue_morse(1024), "a b c a bb ccc dddddddddd dddddddddx xddddddddd", "éé 12345678901234567 12345678901234568 " + "z" * 9000 + " " + "z" * 8999 + "y", ""] * 2
+    want = [[*tokenizer.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+    for hashes in (real_hashes, lambda buf, s, e: real_hashes(buf, s, e) % np.uint64(3), lambda buf, s, e: np.zeros(len(s), np.uint64)):
+        monkeypatch.setattr(packing.W, "hashes", hashes)
+        # Short words of one length are told apart by the hash itself, so poor hashes are tried on long ones only.
+        rows = range(len(texts)) if hashes is real_hashes else [k for k in range(len(texts)) if k % 5 in (0, 1, 4)]
+        for size in (packing.WORDS, 2):
+            monkeypatch.setattr(packing, "WORDS", size)
+            buf, off = W.column(pa.array([texts[k] for k in rows], pa.string()))
+            encode = packing.Encoder(path)
+            for _ in range(2):
+                ids, first = encode(buf, off)
+                assert [ids[a:b].tolist() for a, b in zip(first[:-1], first[1:])] == [want[k] for k in rows]
+
+
+def test_encoder_forgets(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = packing.default_path()
+    monkeypatch.setattr(packing, "CACHE", 4000)
+    monkeypatch.setattr(packing, "WORDS", 50)
+    monkeypatch.setattr(packing, "PIECES", 5)
+    rng, tokenizer, encode = random.Random(2), Tokenizer.from_file(path), packing.Encoder(path)
+    for _ in range(5):
+        texts = [prose(rng, 80, 5000) for _ in range(6)]
+        ids, first = encode(*W.column(pa.array(texts, pa.string())))
+        assert [ids[a:b].tolist() for a, b in zip(first[:-1], first[1:])] == [[*tokenizer.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+    assert encode.store.words.nbytes + encode.store.ids.nbytes < 20_000
+
+
 def test_decontamination(spark, corpus):
     rng = random.Random(9)
     items = [(k, prose(rng, 30, 500).replace(" ", ", ", 3)) for k in range(12)] + [(20, "Only, three words"), (21, None), (22, "?!"), (23, "a"), (10, "w1 w2 W3 w4 w5 w6 w7 w8 w9")]
