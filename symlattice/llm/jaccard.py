@@ -147,7 +147,7 @@ def _describe(docs: DataFrame) -> DataFrame:
                 data = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((np.arange(len(n) + 1) * CELLS).astype(np.int32)), pa.py_buffer(cells.tobytes())])
                 yield pa.RecordBatch.from_pydict({"doc_id": b["doc_id"].slice(at, len(n)), "n": pa.array(n), "class": pa.array(class_keys(values, bounds), mask=n == 0), "cells": data})
 
-    return docs.mapInArrow(run, "doc_id long, n long, class long, cells binary")
+    return docs.mapInArrow(W.lean(run), "doc_id long, n long, class long, cells binary")
 
 
 def _blobs(docs: DataFrame, buckets: int) -> DataFrame:
@@ -192,7 +192,7 @@ def _blobs(docs: DataFrame, buckets: int) -> DataFrame:
         if held:
             yield flush()
 
-    return docs.mapInArrow(run, "bucket long, sigs binary, classes binary, lists binary, runs binary")
+    return docs.mapInArrow(W.lean(run), "bucket long, sigs binary, classes binary, lists binary, runs binary")
 
 
 def _meet(blobs: pa.Table) -> pa.Table:
@@ -256,7 +256,7 @@ def _possible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
             keep = pa.array(~_apart(na, _cells(b["ca"]), nb, _cells(b["cb"])))
             yield b.select(["a", "b", "na", "nb"]).filter(keep)
 
-    return pairs.distinct().join(of("a"), "a").join(of("b"), "b").select("a", "b", "na", "nb", "ca", "cb").mapInArrow(run, "a long, b long, na long, nb long")
+    return pairs.distinct().join(of("a"), "a").join(of("b"), "b").select("a", "b", "na", "nb", "ca", "cb").mapInArrow(W.lean(run), "a long, b long, na long, nb long")
 
 
 def _strays(groups: DataFrame, roots: DataFrame, classes: DataFrame) -> DataFrame:
@@ -311,7 +311,7 @@ def _strays(groups: DataFrame, roots: DataFrame, classes: DataFrame) -> DataFram
             a, b = block(pa.concat_batches(rest))
             yield pa.RecordBatch.from_pydict({"a": pa.array(a), "b": pa.array(b)})
 
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(W.lean(run), "a long, b long")
 
 
 def _sets(docs: DataFrame) -> DataFrame:
@@ -323,7 +323,7 @@ def _sets(docs: DataFrame) -> DataFrame:
                 items = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values.view(np.int64)))
                 yield pa.RecordBatch.from_pydict({"class": pa.array(class_keys(values, bounds)[full]), "items": items})
 
-    return docs.mapInArrow(run, "class long, items array<bigint>")
+    return docs.mapInArrow(W.lean(run), "class long, items array<bigint>")
 
 
 def components(edges: DataFrame, scratch: Scratch, name: str, most: int = 60) -> DataFrame:

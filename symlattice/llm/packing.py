@@ -195,7 +195,7 @@ def tokenise(docs: DataFrame, path: str, keep: tuple[str, ...] = ()) -> DataFram
                 yield pa.RecordBatch.from_pydict({c: part[c] for c in names} | {"ids": data, "task": pa.array(np.full(len(n), task), pa.int64()), "before": pa.array(places, pa.int64()), "n": pa.array(n, pa.int64())})
 
     kept = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
-    return docs.select(*dict.fromkeys((*names, "text"))).mapInArrow(run, f"{kept}, ids binary, task long, before long, n long")
+    return docs.select(*dict.fromkeys((*names, "text"))).mapInArrow(W.lean(run), f"{kept}, ids binary, task long, before long, n long")
 
 
 def pack(docs: DataFrame, path: str, window: int = WINDOW) -> DataFrame:

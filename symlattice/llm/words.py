@@ -9,7 +9,10 @@ few words hash by a polynomial over the (mixed) word hashes.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +34,28 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 _powers: dict[int, np.ndarray] = {}
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries have it
+
+
+def relieve() -> None:
+    """Gives memory that Arrow's and the C library's allocators keep for later back to the system."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, for mapInArrow, in a worker that lives on: what one batch took is not held while the next ones, or other tasks, run."""
+
+    @wraps(run)
+    def leaner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for out in run(batches):
+            yield out
+            del out
+            relieve()
+        relieve()
+
+    return leaner
 
 
 def powers(base: int, n: int) -> np.ndarray:
