@@ -2,10 +2,12 @@
 
 The index is a list of sorted immutable runs.  A run holds window hashes of past
 batches, bucketed and sorted by hash, with a second hash to verify by and the
-first document of each window.  A new batch's windows are merge-joined with every
+first document of each window; the two come from word hashes of different seeds,
+so nothing that deceives the one deceives the other.  A new batch's windows are merge-joined with every
 run, verified, and what is new becomes a run of its own; runs are compacted into
 one when there are too many.  Batches are ranges of rising doc_id, so whatever the
-history holds comes from a smaller doc_id.
+history holds comes from a smaller doc_id.  An index can be saved, and opened again
+to take in batches that nobody knew of when it was made (`take`).
 
 Where the whole corpus is known beforehand, a filter keeps windows out of the index
 that cannot repeat: each window of 13 words has an anchor, the five words of least
@@ -29,10 +31,11 @@ from .store import Scratch
 
 WINDOW = 13
 ANCHOR = 5
-BATCHES = 3
+BATCHES = 4
 MOST_RUNS = 2
 BUCKET = 2_000_000  # windows in a bucket of a run, about
 CHECK = 0xA24BAED4963EE407  # base of the verifying hash
+SEED = 1  # of its word hashes
 
 
 def _windows(words: np.ndarray, first: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -56,25 +59,25 @@ def anchors_at(words: np.ndarray, window: int, anchor: int) -> np.ndarray:
     return least
 
 
-def _parts(b: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(first row, word hashes, first word of each row, starts, ends) of a batch's texts."""
+def _parts(b: pa.RecordBatch, proof: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray | None]]:
+    """(first row, word hashes, first word of each row, the verifying word hashes) of a batch's texts."""
     for at, buf, off in W.chunks(*W.column(b["text"])):
         s, e, first = W.split(buf, off)
-        yield at, W.hashes(buf, s, e), first, s, e
+        yield at, W.hashes(buf, s, e), first, W.hashes(buf, s, e, SEED) if proof else None
 
 
 def _anchors(docs: DataFrame, window: int, anchor: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b["doc_id"].to_numpy(zero_copy_only=False)
-            for at, words, first, _, _ in _parts(b):
+            for at, words, first, _ in _parts(b):
                 place, doc = _windows(words, first, window)
                 key = anchors_at(words, window, anchor)[place]
                 new = np.ones(len(key), bool)
                 new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
                 yield pa.RecordBatch.from_pydict({"anchor": pa.array(key[new].view(np.int64)), "doc_id": pa.array(ids[at + doc[new]])})
 
-    return docs.mapInArrow(run, "anchor long, doc_id long")
+    return docs.mapInArrow(W.lean(run), "anchor long, doc_id long")
 
 
 def _fingerprints(docs: DataFrame, window: int, anchor: int | None) -> DataFrame:
@@ -84,7 +87,7 @@ def _fingerprints(docs: DataFrame, window: int, anchor: int | None) -> DataFrame
         for b in batches:
             ids = b["doc_id"].to_numpy(zero_copy_only=False)
             lists = b["_anchors"] if anchor else None
-            for at, words, first, _, _ in _parts(b):
+            for at, words, first, proof in _parts(b, proof=True):
                 place, doc = _windows(words, first, window)
                 if anchor:
                     part = lists.slice(at, len(first) - 1)
@@ -93,18 +96,37 @@ def _fingerprints(docs: DataFrame, window: int, anchor: int | None) -> DataFrame
                     # One sorted set for the chunk: a document's anchor is told apart by mixing in its number.
                     keep = np.isin(W.mix(key ^ W.mix(doc.astype(np.uint64))), W.mix(wanted ^ W.mix(owner.astype(np.uint64))))
                     place, doc = place[keep], doc[keep]
-                yield pa.RecordBatch.from_pydict({"hash": pa.array(W.sequences(words, window)[place].view(np.int64)), "proof": pa.array(W.sequences(words, window, CHECK)[place].view(np.int64)), "doc_id": pa.array(ids[at + doc])})
+                yield pa.RecordBatch.from_pydict({"hash": pa.array(W.sequences(words, window)[place].view(np.int64)), "proof": pa.array(W.sequences(proof, window, CHECK)[place].view(np.int64)), "doc_id": pa.array(ids[at + doc])})
 
-    return docs.select("doc_id", "text", *(["_anchors"] if anchor else [])).mapInArrow(run, "hash long, proof long, doc_id long")
+    return docs.select("doc_id", "text", *(["_anchors"] if anchor else [])).mapInArrow(W.lean(run), "hash long, proof long, doc_id long")
 
 
 class FingerprintIndex:
-    """The runs.  Tables lie in the shared folder; drop() removes them."""
+    """The runs, as bucketed tables in a folder that all machines share; drop() removes them, save() and open() keep them."""
 
     def __init__(self, spark: SparkSession, scratch: Scratch, buckets: int, most_runs: int = MOST_RUNS):
         self.spark, self.scratch, self.buckets, self.most_runs = spark, scratch, buckets, most_runs
         self.runs: list[str] = []
 
+    def save(self) -> str:
+        """Writes the list of runs; returns the folder to open the index from, in this session or another."""
+        about = self.spark.createDataFrame([(name, self.buckets, self.most_runs, k) for k, name in enumerate(self.runs)], "name string, buckets int, most_runs int, place int")
+        about.coalesce(1).write.mode("overwrite").json(self.scratch.path("index"))
+        return self.scratch.root
+
+    @classmethod
+    def open(cls, spark: SparkSession, root: str) -> FingerprintIndex:
+        """The index saved in a folder.  Runs that this session's catalog does not have are registered from their files."""
+        scratch = Scratch(spark, "repeats")
+        scratch.root = root
+        about = spark.read.schema("name string, buckets int, most_runs int, place int").json(scratch.path("index")).orderBy("place").collect()  # a row for each run
+        index = cls(spark, scratch, about[0]["buckets"] if about else 8, about[0]["most_runs"] if about else MOST_RUNS)
+        for r in about:
+            if not spark.catalog.tableExists(r["name"]):
+                spark.sql(f"CREATE TABLE {r['name']} (hash BIGINT, proof BIGINT, first BIGINT) USING parquet CLUSTERED BY (hash, proof) SORTED BY (hash, proof) INTO {r['buckets']} BUCKETS LOCATION '{scratch.path(r['name'])}'")
+            index.runs.append(r["name"])
+        return index
+
     def _write(self, rows: DataFrame) -> None:
         name = f"fingerprint_run_{uuid.uuid4().hex}"
         rows = rows.select("hash", "proof", "first").repartition(self.buckets, "hash", "proof")
@@ -158,10 +180,27 @@ class FingerprintIndex:
         return hits
 
 
+def _usable(docs: DataFrame) -> DataFrame:
+    return docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+
+
+def take(docs: DataFrame, index: FingerprintIndex, window: int = WINDOW) -> DataFrame:
+    """doc_id, hashes array<bigint>: windows of each document of a new batch that the index, or a smaller doc_id of the batch, has too.
+
+    The index then holds all windows of the batch.  doc_ids must be larger than those
+    it has seen.  Nothing is known of later batches, so no window is left out.
+    """
+    name = f"batch-{uuid.uuid4().hex}"
+    prints = index.scratch.write(_fingerprints(_usable(docs), window, None), f"{name}-prints")
+    hits = index.add(prints, name)
+    index.scratch.drop(f"{name}-prints")
+    return hits.groupBy("doc_id").agg(F.collect_set("hash").alias("hashes"))
+
+
 def repeated(docs: DataFrame, scratch: Scratch, window: int = WINDOW, anchor: int = ANCHOR, batches: int = BATCHES) -> DataFrame:
     """doc_id, hashes array<bigint>: windows of each document that a smaller doc_id has too."""
     spark = docs.sparkSession
-    docs = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    docs = _usable(docs)
     anchors = scratch.write(_anchors(docs, window, anchor), "anchors")
     spread = anchors.groupBy("anchor").agg(F.min("doc_id").alias("_a"), F.max("doc_id").alias("_b")).where("_a < _b").select("anchor")
     lists = scratch.write(anchors.join(spread, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("_anchors")), "lists")
@@ -176,11 +215,13 @@ def repeated(docs: DataFrame, scratch: Scratch, window: int = WINDOW, anchor: in
     scratch.release()
     # An anchor stands for about five windows.
     index, hits = FingerprintIndex(spark, scratch, max(8, 5 * (listed or 0) // (batches * BUCKET))), None
-    for k in range(batches):
-        part = index.add(prints.where(F.col("batch") == k).drop("batch"), f"batch{k}", last=k == batches - 1)
-        hits = part if hits is None else hits.unionByName(part)
-    out = scratch.write(hits.groupBy("doc_id").agg(F.collect_set("hash").alias("hashes")), "hits")
-    index.drop()
+    try:
+        for k in range(batches):
+            part = index.add(prints.where(F.col("batch") == k).drop("batch"), f"batch{k}", last=k == batches - 1)
+            hits = part if hits is None else hits.unionByName(part)
+        out = scratch.write(hits.groupBy("doc_id").agg(F.collect_set("hash").alias("hashes")), "hits")
+    finally:
+        index.drop()
     scratch.drop("prints")
     for k in range(batches):
         scratch.drop(f"batch{k}-hits")
@@ -195,8 +236,11 @@ def remove(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, batches:
     others.  Rows that share a doc_id are judged each by itself, against smaller ids.
     An empty table gives no rows.
     """
-    scratch = Scratch(docs.sparkSession, "repeats")
-    hits = repeated(docs, scratch, window, anchor, batches)
+    return apply(docs, repeated(docs, Scratch(docs.sparkSession, "repeats"), window, anchor, batches), window)
+
+
+def apply(docs: DataFrame, hits: DataFrame, window: int = WINDOW) -> DataFrame:
+    """What remove() returns, for windows that repeated() or take() found."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,7 +266,7 @@ def remove(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, batches:
 
     base = docs.select("doc_id", "text")
     joined = base.join(hits.withColumnRenamed("doc_id", "_id"), F.col("doc_id").cast("bigint") == F.col("_id"), "left").drop("_id")
-    return joined.select("doc_id", "text", "hashes").mapInArrow(run, f"doc_id {kind}, n_words long, n_removed long, kept string")
+    return joined.select("doc_id", "text", "hashes").mapInArrow(W.lean(run), f"doc_id {kind}, n_words long, n_removed long, kept string")
 
 
 def report(docs: DataFrame) -> DataFrame:
