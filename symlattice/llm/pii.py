@@ -2,8 +2,10 @@
 
 Transducers rewrite a text and keep, for every character they emit, the source
 span it came from: look-alike letters and digits become ASCII, spelled digits
-become digits, and at/dot disguises become @ and '.'.  The same detectors run
-over the rewritten text, and their spans are mapped back to source characters.
+(English, German, French and Spanish) become digits, and at/dot disguises become @
+and '.'.  The same detectors run over the rewritten text, and their spans are mapped
+back to source characters.  All steps take time in proportion to the text, or to it
+and the logarithm of the number of spans.
 """
 
 from __future__ import annotations
@@ -11,11 +13,14 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from . import words as W
 from .domains import TOP
 
 KINDS = ("email", "ip", "card", "phone")
@@ -37,9 +42,17 @@ LOOKALIKES = {
 }
 #: Characters without width, which are dropped.
 INVISIBLE = "​‌‍⁠﻿­"
-#: Spelled digits.
-SPELLED = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
-
+#: Spelled digits in English, German, French and Spanish; a word of several languages has one value.
+SPELLED = {
+    "zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9",
+    "null": "0", "eins": "1", "zwei": "2", "zwo": "2", "drei": "3", "vier": "4", "fünf": "5", "sechs": "6", "sieben": "7", "acht": "8", "neun": "9",
+    "zéro": "0", "un": "1", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7", "huit": "8", "neuf": "9",
+    "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
+}
+#: Spelled signs in the same languages.
+SIGNS = {"plus": "+", "más": "+", "dot": ".", "point": ".", "punkt": ".", "punto": "."}
+#: Spelled at signs.
+ATS = ("at", "arobase", "arroba")
 
 def _table() -> dict[str, str]:
     """Compatibility forms (full width, mathematical, other digits) of printable ASCII, and the look-alikes."""
@@ -55,20 +68,22 @@ def _table() -> dict[str, str]:
 
 TABLE = _table()
 _ODD = re.compile("[" + "".join(map(re.escape, TABLE)) + "]")
-_AT = re.compile(r"\s{0,3}[\[({<]\s?(?:at|AT|At|@)\s?[\])}>]\s{0,3}")
-_DOT = re.compile(r"\s{0,3}[\[({<]\s?(?:dot|DOT|Dot|\.)\s?[\])}>]\s{0,3}")
-_SPACED = re.compile(r"(?<=[A-Za-z0-9])\s{1,3}(?:(at)|(dot))\s{1,3}(?=[A-Za-z0-9])", re.I)
-_BRACKETED = re.compile(r"[\[({<]\s?(?:at|@|\.)\s?[\])}>]")
-_SPOKEN = re.compile(r"(?<![A-Za-z])(?:" + "|".join(SPELLED) + r"|plus|dot|point)(?![A-Za-z])", re.I)
-_WORDS = re.compile(r"(?<![A-Za-z])(?:(?:" + "|".join(SPELLED) + r"|[0-9]++|plus|dot|point|\+|\.)(?![A-Za-z])[\s,-]{0,3}){2,}", re.I)
+_DOTS = "|".join(w for w, c in SIGNS.items() if c == ".")
+_SAID = "|".join([*SPELLED, *SIGNS])
+_AT = re.compile(rf"\s{{0,3}}[\[({{<]\s?(?:{'|'.join(ATS)}|@)\s?[\])}}>]\s{{0,3}}", re.I)
+_DOT = re.compile(rf"\s{{0,3}}[\[({{<]\s?(?:{_DOTS}|\.)\s?[\])}}>]\s{{0,3}}", re.I)
+_SPACED = re.compile(rf"(?<=[A-Za-z0-9])\s{{1,3}}(?:({'|'.join(ATS)})|({_DOTS}))\s{{1,3}}(?=[A-Za-z0-9])", re.I)
+_SIGN_SAID = re.compile(rf"{_DOTS}|[\[({{<]\s?(?:{'|'.join(ATS)}|@|\.)\s?[\])}}>]", re.I)
+_SPOKEN = re.compile(rf"(?<![^\W\d_])(?:{_SAID})(?![^\W\d_])", re.I)
+_WORDS = re.compile(rf"(?<![^\W\d_])(?:(?:{_SAID}|[0-9]++|\+|\.)(?![^\W\d_])[\s,-]{{0,3}}){{2,}}", re.I)
+_LABELS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789.-")
 _LABEL = re.compile(r"[A-Za-z0-9.-]+")
 _LAST = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*")
 _NAME = re.compile(r"[A-Za-z0-9._%+-]+")
-_SIGNED = re.compile(r"@[A-Za-z0-9.-]+$")
 _ADDRESS = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]")
 #: Words that are no domain.
 _FILLERS = frozenset(("the", "a", "an", "this", "that", "my", "your", "our", "his", "her", "its", "their", "each", "every", "one"))
-_WORD = re.compile(r"[A-Za-z]+|[0-9]+|[+.]")
+_WORD = re.compile(r"[^\W\d_]+|[0-9]+|[+.]")
 _FAR = re.compile("[\xa0\xad\u0250-\U0010ffff]")
 
 
@@ -97,7 +112,7 @@ def base(text: str) -> list[Span]:
     if not _DIGIT.search(text):
         return out
     if text.count(".") > 2:
-        out += [("ip", *m.span()) for m in _IP.finditer(text) if all(len(x.lstrip("0")) < 4 and int(x) < 256 for x in m[0].split("."))]
+        out += [("ip", *m.span()) for m in _IP.finditer(text) if all(len(x) < 4 and int(x or "0") < 256 for x in (y.lstrip("0") for y in m[0].split(".")))]
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 13:
             digits = m[0].replace(" ", "").replace("-", "")
@@ -139,25 +154,28 @@ class Tape:
         self.text, self.start, self.end = "".join(text), start, end
 
 
-def _spelled(run: re.Match) -> list[tuple[int, int, str]]:
-    """Edits that turn the spelled digits of a run into digits and close the gaps beside them; in a run of four or more, all gaps."""
+def _spelled(run: re.Match, begins: set[int], ends: set[int]) -> list[tuple[int, int, str]]:
+    """Edits that turn the spelled digits of a run into digits and close the gaps beside them; in a run of four or more, all gaps.
+
+    begins, ends: where plain identifiers of the text begin and end.
+    """
     parts = [(m.start() + run.start(), m.end() + run.start(), m[0].lower()) for m in _WORD.finditer(run[0])]
 
     def trim() -> None:
-        while parts and parts[-1][2] in ("dot", "point", ".", "plus", "+"):
+        while parts and (parts[-1][2] in SIGNS or parts[-1][2] in ".+"):
             parts.pop()
-        while parts and parts[0][2] in ("dot", "point", "."):
-            parts.pop(0)
+        first = 0
+        while first < len(parts) and SIGNS.get(parts[first][2], parts[first][2]) == ".":
+            first += 1
+        del parts[:first]
 
     trim()
     spelled = sum(w in SPELLED for *_, w in parts)
     if spelled < 4:
         # A lone number word beside an identifier that is plain without it is prose.
-        if len(parts) > 1 and parts[-1][2] in SPELLED and parts[-2][2] not in SPELLED:
-            end = parts[-2][1]
-            if any(e == min(64, end) for _, _, e in base(run.string[max(0, end - 64) : end])):
-                parts.pop()
-        if len(parts) > 1 and parts[0][2] in SPELLED and parts[1][2] not in SPELLED and any(s == 0 for _, s, _ in base(run.string[parts[1][0] : parts[1][0] + 64])):
+        if len(parts) > 1 and parts[-1][2] in SPELLED and parts[-2][2] not in SPELLED and parts[-2][1] in ends:
+            parts.pop()
+        if len(parts) > 1 and parts[0][2] in SPELLED and parts[1][2] not in SPELLED and parts[1][0] in begins:
             parts.pop(0)
         trim()
     if not any(w.isalpha() for *_, w in parts):
@@ -167,7 +185,7 @@ def _spelled(run: re.Match) -> list[tuple[int, int, str]]:
         if k and a > parts[k - 1][1] and (spelled > 3 or w.isalpha() or w == "." or not parts[k - 1][2].isdigit()):
             edits.append((parts[k - 1][1], a, ""))
         if w.isalpha():
-            edits.append((a, b, SPELLED.get(w) or {"plus": "+", "dot": ".", "point": "."}[w]))
+            edits.append((a, b, SPELLED.get(w) or SIGNS[w]))
     return edits
 
 
@@ -178,6 +196,14 @@ def _top(text: str, at: int) -> bool:
     return labels[0] in TOP or labels[-1] in TOP
 
 
+def _signed(text: str, end: int) -> bool:
+    """Whether a sign and labels end at this place."""
+    at = end
+    while at and text[at - 1] in _LABELS:
+        at -= 1
+    return 0 < at < end and text[at - 1] == "@"
+
+
 def _spaced(text: str) -> list[tuple[int, int, str]]:
     """Edits for bare words: name (dot name)* at label (dot label)+, or the same with a sign, that ends in a top-level domain."""
     seen, edits, done = list(_SPACED.finditer(text)), [], 0
@@ -185,7 +211,7 @@ def _spaced(text: str) -> list[tuple[int, int, str]]:
         if k < done:
             continue
         j, end, ends = k + bool(m[1]), m.end() if m[1] else m.start(), []
-        signed = m[1] or _SIGNED.search(text, max(0, m.start() - 256), m.start())
+        signed = m[1] or _signed(text, m.start())
         while signed and j < len(seen) and seen[j][2] and (j == k or _LABEL.fullmatch(text, end, seen[j].start())):
             end, j = seen[j].end(), j + 1
             if _top(text, end):
@@ -194,7 +220,7 @@ def _spaced(text: str) -> list[tuple[int, int, str]]:
         if ends and not (m[1] and text[m.end() : seen[k + 1].start()].lower() in _FILLERS):
             last = ends[-1]
             edits += [(x.start(), x.end(), "." if x[2] else "@") for x in seen[k:last]]
-        elif m[2] and _ADDRESS.match(text, m.end()):
+        elif m[2] and m[2].lower() == "dot" and _ADDRESS.match(text, m.end()):
             last = k + 1
             edits.append((m.start(), m.end(), "."))
         if last > k:
@@ -205,40 +231,56 @@ def _spaced(text: str) -> list[tuple[int, int, str]]:
     return sorted(edits)
 
 
+def _touching(tape: Tape, kinds: tuple[str, ...]) -> list[Span]:
+    """Source spans of what the detectors find in the tape's text, where a change lies in them."""
+    changed = sorted(tape.changed)
+    starts, ends = [a for a, _ in changed], list(accumulate((b for _, b in changed), max))
+    out = []
+    for k, s, e in base(tape.text) if changed else ():
+        lo, hi = tape.start[s], tape.end[e - 1]
+        before = bisect_right(starts, hi - 1)  # changes that begin before the span ends
+        if k in kinds and before and ends[before - 1] > lo:
+            out.append((k, lo, hi))
+    return out
+
+
 def disguised(text: str) -> list[Span]:
     """Spans, in source characters, of identifiers that only the rewritten text shows."""
     odd = not text.isascii() and _FAR.search(text) and _ODD.search(text)
-    low = text.lower()
-    signs = "dot" in low or _BRACKETED.search(low)
+    signs = _SIGN_SAID.search(text)
     words = _SPOKEN.search(text)
     if not (odd or signs or words):
         return []
     tape = Tape(text)
     if odd:
         tape.rewrite([(m.start(), m.end(), TABLE[m[0]]) for m in _ODD.finditer(text)])
-    spoken: list[Span] = []
-    if words or odd:
-        aside = Tape(tape.text)
+    found: list[Span] = []
+    runs = list(_WORDS.finditer(tape.text)) if words or odd else []
+    if runs:
+        aside, known = Tape(tape.text), base(tape.text)
         aside.start, aside.end = tape.start, tape.end
-        aside.rewrite([e for m in _WORDS.finditer(aside.text) for e in _spelled(m)])
-        spoken = [(k, aside.start[s], aside.end[e - 1]) for k, s, e in base(aside.text) if k != "email" and any(a < aside.end[e - 1] and aside.start[s] < b for a, b in aside.changed)]
+        begins, ends = {s for _, s, _ in known}, {e for *_, e in known}
+        aside.rewrite([e for m in runs for e in _spelled(m, begins, ends)])
+        found = _touching(aside, KINDS[1:])
     if signs or odd:
         tape.rewrite([(m.start(), m.end(), "@") for m in _AT.finditer(tape.text)])
         tape.rewrite([(m.start(), m.end(), ".") for m in _DOT.finditer(tape.text)])
         tape.rewrite(_spaced(tape.text))
-    found = spoken + [(k, tape.start[s], tape.end[e - 1]) for k, s, e in base(tape.text) if any(a < tape.end[e - 1] and tape.start[s] < b for a, b in tape.changed)]
-    return found
+    return found + _touching(tape, KINDS)
 
 
 def detect(text: str | None) -> tuple[list[Span], list[Span]]:
     """(plain spans, all spans); a disguised span is added unless one of its kind contains it."""
     text = text or ""
     plain = base(text)
-    every = list(plain)
-    for s in sorted(disguised(text), key=lambda s: (s[1] - s[2], s[1])):
-        if not any(x[0] == s[0] and x[1] <= s[1] and s[2] <= x[2] for x in every):
-            every.append(s)
-    every.sort(key=lambda s: (KINDS.index(s[0]), s[1]))
+    hidden = disguised(text)
+    if not hidden:
+        return plain, list(plain)
+    every, furthest = [], dict.fromkeys(KINDS, -1)
+    for k, s, e, new in sorted([(k, s, e, False) for k, s, e in plain] + [(k, s, e, True) for k, s, e in hidden], key=lambda x: (KINDS.index(x[0]), x[1], -x[2], x[3])):
+        if not new or e > furthest[k]:
+            every.append((k, s, e))
+        furthest[k] = max(furthest[k], e)
     return plain, every
 
 
@@ -272,7 +314,7 @@ def report(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"doc_id": b["doc_id"], **counts, "base_sha256": pa.array([hashlib.sha256(joined(p).encode()).hexdigest() for p, _ in found], pa.string()), "spans": pa.array([joined(e) for _, e in found], pa.string()), "n_added": pa.array([len(e) - len(p) for p, e in found], pa.int64())})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
+    return docs.select("doc_id", "text").mapInArrow(W.lean(run), f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
 
 
 def clean(docs: DataFrame) -> DataFrame:
@@ -288,4 +330,4 @@ def clean(docs: DataFrame) -> DataFrame:
                 columns["n_chars"] = pa.array([n if t == o else len(t) for n, t, o in zip(b["n_chars"].to_pylist(), new, old)], b["n_chars"].type)
             yield pa.RecordBatch.from_pydict(columns)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(W.lean(run), docs.schema)
