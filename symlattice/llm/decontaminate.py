@@ -110,12 +110,17 @@ def clean(docs: DataFrame, benchmark: DataFrame, min_items: int = 2) -> DataFram
     """
     keep = tuple(c for c in docs.columns if c != "doc_id")
     rows = scan(docs, benchmark, keep=keep).where(F.size("items") < min_items)
-    old, word = F.col("kept.text"), SEPARATORS.replace("[", "[^", 1)
-    gaps, said = F.split(old, word, -1), F.regexp_extract_all(old, F.lit(f"({word})"), F.lit(1))
-    gone = covered(F.col("hits"))
-    left = F.transform(said, lambda w, i: F.when(F.array_contains(gone, i + 1), F.lit("")).otherwise(w))
-    cut = F.array_join(F.zip_with(gaps, left, lambda g, w: F.concat(g, F.coalesce(w, F.lit("")))), "")
-    hit = F.size("hits") > 0
+    old, word, hit = F.col("kept.text"), SEPARATORS.replace("[", "[^", 1), F.size("hits") > 0
+    said = F.regexp_extract_all(old, F.lit(f"({word})"), F.lit(1))
+    left = F.array_except(F.sequence(F.lit(1), F.size(said)), covered(F.col("hits")))
+    # Exploded, so that the parts are made once for a row and not again for each word; the work follows the length of the text.
+    parts = F.explode(F.array(F.when(hit, F.struct(F.split(old, word, -1).alias("gaps"), said.alias("said"), left.alias("left")))))
+    rows = rows.select("doc_id", "kept", hit.alias("hit"), parts.alias("x"))
+    gaps = lambda at, n: F.array_join(F.slice("x.gaps", at, n), "")
+    before = lambda k: F.when(k == 0, F.lit(0)).otherwise(F.get("x.left", k - 1))
+    words = F.transform("x.left", lambda p, k: F.concat(gaps(before(k) + 1, p - before(k)), F.get("x.said", p - 1)))
+    last = before(F.size("x.left"))
+    cut, old, hit = F.concat(F.array_join(words, ""), gaps(last + 1, F.size("x.gaps") - last)), F.col("kept.text"), F.col("hit")
     new = {"doc_id": F.col("doc_id"), "text": F.when(hit, cut).otherwise(old)}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(hit, F.length(cut)).otherwise(F.col("kept.n_chars")).cast(docs.schema["n_chars"].dataType)
