@@ -120,6 +120,37 @@ def test_index_takes_batches_and_compacts(spark):
     assert not index.runs
 
 
+def test_saved_index_takes_unknown_batches(spark, corpus):
+    """Three batches through an index that is saved and opened from its files each time give what the whole table gives."""
+    from symlattice.llm.store import Scratch
+
+    want = {r["doc_id"]: r["n_removed"] for r in repeats.remove(table(spark, corpus)).collect()}
+    root, got = repeats.FingerprintIndex(spark, Scratch(spark, "kept"), buckets=4).save(), {}
+    for k in range(4):
+        batch = table(spark, [r for r in corpus if r[0] * 4 // len(corpus) == k])
+        index = repeats.FingerprintIndex.open(spark, root)
+        got |= {r["doc_id"]: r["n_removed"] for r in repeats.apply(batch, repeats.take(batch, index)).collect()}
+        assert index.save() == root and len(index.runs) <= 3
+        for name in index.runs:
+            spark.sql(f"DROP TABLE {name}")  # of another session's catalog; its files stay
+    assert got == want and any(got.values())
+    repeats.FingerprintIndex.open(spark, root).drop()
+
+
+def test_substring_dedup_compacts_in_the_query(spark, corpus, monkeypatch):
+    calls, compact = [], repeats.FingerprintIndex.compact
+    monkeypatch.setattr(repeats.FingerprintIndex, "compact", lambda self: (calls.append(len(self.runs)), compact(self)))
+    repeats.report(table(spark, corpus)).count()
+    assert calls == [repeats.MOST_RUNS]
+
+
+def test_substring_dedup_tells_confusing_words_apart(spark):
+    one, other = thue_morse(2048)
+    twelve = " ".join("abcdefghijkl")
+    got = {r["doc_id"]: r["n_removed"] for r in repeats.report(table(spark, [(1, f"{twelve} {one}"), (2, f"{twelve} {other}"), (3, f"{twelve} {one}")])).collect()}
+    assert got == {1: 0, 2: 0, 3: 13}
+
+
 def plain_spans(t):
     """The contract's patterns as they are written, without any short cut."""
     out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
@@ -189,6 +220,62 @@ def test_pii_leaves_clean_texts(text):
     assert pii.detect(text) == ([], []) and pii.redact(text) == text
 
 
+@pytest.mark.parametrize("text,kind,want", [
+    ("tel plus vier neun drei null eins zwei drei vier fünf sechs sieben", "phone", "plus vier neun drei null eins zwei drei vier fünf sechs sieben"), ("le +33 un deux trois quatre cinq six sept huit neuf", "phone", "+33 un deux trois quatre cinq six sept huit neuf"),
+    ("al +34 seis uno dos tres cuatro cinco seis siete ocho", "phone", "+34 seis uno dos tres cuatro cinco seis siete ocho"), ("anna [arroba] correo punto es", "email", "anna [arroba] correo punto es"), ("luc arobase exemple point fr et", "email", "luc arobase exemple point fr"),
+    ("host zehn, 10 punkt null punkt null punkt eins", "ip", "10 punkt null punkt null punkt eins"),
+])
+def test_pii_spoken_in_other_languages(text, kind, want):
+    assert want in [text[s:e] for k, s, e in pii.detect(text)[1] if k == kind]
+
+
+@pytest.mark.parametrize("text", ["un ou deux, trois jours à ce point jane", "acht Tage, null Bock auf neun Uhr", "dos o tres cosas, punto", "à point nommé"])
+def test_pii_leaves_other_languages(text):
+    assert pii.detect(text) == ([], [])
+
+
+def test_pii_long_numbers_and_labels(spark):
+    zeros = "0" * 5000
+    for t in (f"{zeros}.1.2.3", f"{zeros}1.2.3.4 x", f"{'9' * 5000}.1.2.3", f"+{zeros}", f"{zeros} {zeros}"):
+        plain, every = pii.detect(t)
+        assert [s for s in plain if s[0] == "ip"] == ([] if "9" in t else [("ip", 0, len(t.split()[0]))] if "." in t else []) and plain == every
+    label = "a" * 700
+    assert pii.detect(f"to x@{label} dot com now")[1] == [("email", 3, 13 + 700)]
+    got = pii.report(table(spark, [(1, f"{zeros}.1.2.3"), (1, f"{zeros}.1.2.3"), (2, None)])).collect()
+    assert sorted((r["doc_id"], r["n_ip"]) for r in got) == [(1, 1), (1, 1), (2, 0)]
+    assert pii.report(table(spark, [(1, "x")]).limit(0)).count() == 0 and pii.clean(table(spark, [(1, "x")]).limit(0)).count() == 0
+
+
+def test_pii_time_follows_the_length():
+    """Five megabytes of disguised addresses, numbers and look-alikes."""
+    import time
+
+    part = "".join(f"u{k} [at] mail{k} (dot) com, jаne{k}@exаmple.com tel +4{k % 10} one two three 4567{k % 100} host 10 dot 0 dot zero dot {k % 256} mail " for k in range(40_000))
+    began = time.process_time()
+    plain, every = pii.detect(part)
+    assert len(part) > 3_800_000 and len(every) > 140_000
+    assert time.process_time() - began < 40
+    began = time.process_time()
+    pii.detect("jane@" + "a" * 2_000_000 + " dot " * 400_000 + "one " * 500_000)
+    assert time.process_time() - began < 40
+
+
+def contained(text):
+    """What detect() keeps, pair by pair."""
+    plain, hidden, every = pii.base(text), pii.disguised(text), []
+    for k, s, e in hidden:
+        if not any(x[0] == k and x[1] <= s and e <= x[2] for x in plain) and not any(x[0] == k and x[1] <= s and e <= x[2] and x != (k, s, e) for x in hidden):
+            every.append((k, s, e))
+    return sorted({*plain, *every}, key=lambda x: (pii.KINDS.index(x[0]), x[1], -x[2]))
+
+
+def test_pii_sweep_is_exact():
+    rng = random.Random(9)
+    for _ in range(3000):
+        t = " ".join(rng.choice(("a@b.com", "one", "two", "10", ".", "dot", "at", "0.0.1", "+44", "2079460958", "а@b.com", "com", "[at]", "(dot)", "x", "４１１１", "zero")) for _ in range(rng.randrange(1, 18)))
+        assert pii.detect(t)[1] == contained(t), t
+
+
 def test_pii_tables(spark, corpus):
     rows = corpus + [(900, "a@b.co and 1.2.3.4"), (901, "plain")]
     got = {r["doc_id"]: r for r in pii.report(table(spark, rows)).collect()}
@@ -427,6 +514,64 @@ def test_mpeg(spark, corpus):
         assert (got[i]["n_bytes"], got[i]["payload_bytes"], got[i]["payload_sha256"], got[i]["tail_crc32"], got[i]["n_problems"]) == (len((t or "").encode()), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]), 0)
 
 
+def test_mpeg_damage_and_small_tables(spark):
+    """Whatever is cut or changed, the parser ends and says so."""
+    media = mpeg.write(mpeg.pad(bytes(range(256)) * 12))
+    rng = random.Random(1)
+    for cut in [*range(0, 80), *range(80, len(media), 97)]:
+        got = mpeg.parse(media[:cut])
+        assert mpeg.seek(got, 1.0) in (None, *got.offsets) and (got.problems or cut < 40 or not got.tags)
+    for _ in range(300):
+        bad = bytearray(media)
+        for _ in range(rng.randrange(1, 30)):
+            bad[rng.randrange(len(bad))] = rng.randrange(256)
+        mpeg.parse(bytes(bad))
+        mpeg.parse(bytes(rng.randrange(256) for _ in range(300)) + bytes(bad[rng.randrange(200) :]))
+    rows = [(1, "a"), (1, "a"), (None, None), (2, "é" * 300_000)]
+    got = mpeg.report(table(spark, rows).withColumn("media", F.lit(1)).withColumn("offsets", F.lit(1))).collect()
+    assert len(got) == 4 and len({r["media_sha256"] for r in got if r["doc_id"] == 1}) == 1 and max(r["n_bytes"] for r in got) == 600_000 and not any(r["n_problems"] for r in got)
+    assert len({r["feature"] for r in mpeg.report(table(spark, [(1, "a" * 192), (2, "b" * 192)])).collect()}) == 2
+    assert mpeg.report(table(spark, rows).limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("version,layer,bitrate,rate,size,samples", [
+    (3, 1, 2, 44100, 68, 384), (3, 2, 10, 48000, 576, 1152), (3, 3, 9, 44100, 417, 1152), (2, 1, 4, 22050, 136, 384), (2, 2, 8, 24000, 384, 1152), (2, 3, 8, 22050, 208, 576), (0, 3, 4, 8000, 288, 576), (0, 2, 4, 11025, 417, 1152),
+])
+@pytest.mark.parametrize("mode", [0, 1, 3])
+def test_mpeg_headers_of_all_kinds(version, layer, bitrate, rate, size, samples, mode):
+    at = next(k for k in range(3) if mpeg.RATES[k] >> {3: 0, 2: 1, 0: 2}[version] == rate)
+    head = bytes((0xFF, 0xE0 | version << 3 | (4 - layer) << 1, bitrate << 4 | at << 2, mode << 6 | (16 if mode == 1 else 0)))
+    f = mpeg.header(head, 0)
+    assert (f.size, f.samples, f.rate, f.layer, f.protected) == (size, samples, rate, layer, True)
+    covered = {1: {0: 32, 1: 20, 3: 16}[mode], 2: 0, 3: (17 if mode == 3 else 32) if version == 3 else (9 if mode == 3 else 17)}[layer]
+    body = bytes(random.Random(size).randrange(255) for _ in range(size - 6))
+    crc = 0xFFFF
+    for bit in "".join(f"{b:08b}" for b in head[2:] + body[:covered]):
+        crc = (crc << 1 ^ (0x8005 if (crc >> 15) ^ int(bit) else 0)) & 0xFFFF
+    frame = head + crc.to_bytes(2, "big") + body
+    got = mpeg.parse(b"junk" + frame * 4)
+    assert got.offsets == [4 + k * size for k in range(4)] and got.seconds == pytest.approx(4 * samples / rate) and got.problems == ["resync at 0"] and mpeg.seek(got, 2.5 * samples / rate) == 4 + 2 * size
+    if layer != 2:
+        wrong = bytearray(frame * 4)
+        wrong[size + 7] ^= 1
+        assert mpeg.parse(bytes(wrong)).problems == [f"checksum at {size}"]
+
+
+def test_mpeg_tags_and_tables():
+    frame = mpeg.head(9) + bytes(mpeg.ROOM[9])
+    size = len(frame)
+    info = bytearray(frame)
+    info[36:62] = b"VBRI" + bytes(6) + (5000).to_bytes(4, "big") + (3).to_bytes(4, "big") + (2).to_bytes(2, "big") + bytes(2) + (2).to_bytes(2, "big") + bytes(2)
+    old = b"ID3\x02\0\0" + mpeg.synchsafe(10) + b"TT2" + (4).to_bytes(3, "big") + b"\0abc"
+    three = b"ID3\x03\0\0" + mpeg.synchsafe(214) + b"TPE1" + (204).to_bytes(4, "big") + b"\0\0" + b"\0" + b"x" * 203
+    ape_item = (3).to_bytes(4, "little") + bytes(4) + b"Key\0val"
+    ape = ape_item + b"APETAGEX" + (2000).to_bytes(4, "little") + (32 + len(ape_item)).to_bytes(4, "little") + (1).to_bytes(4, "little") + bytes(12)
+    last = b"TAG" + b"title".ljust(30, b"\0") + bytes(95)
+    got = mpeg.parse(old + three + bytes(info) + frame * 3 + ape + last)
+    assert [n for n, _ in got.tags] == ["TT2", "TPE1", "ID3v1 title", "APE Key"] and dict(got.tags)["APE Key"] == b"val" and dict(got.tags)["ID3v1 title"] == b"title" and len(dict(got.tags)["TPE1"]) == 204
+    assert (got.vbr, got.vbr_bytes, got.vbr_frames, len(got.toc)) == ("VBRI", 5000, 3, 4) and len(got.offsets) == 3 and got.offsets[0] == len(old + three) + size and not [p for p in got.problems if "checksum" not in p]
+
+
 def test_viterbi():
     rng = np.random.default_rng(1)
     for k in (1, 2, 4):
@@ -462,6 +607,31 @@ def test_language(spark):
     assert language.clean(docs.limit(20).withColumn("score", F.lit("mine"))).columns == [*docs.columns, "score"]
 
 
+@pytest.mark.parametrize("names", [("score", "_score"), ("lang_pred", "_LANG_PRED", "spans"), ("_spans", "held_out")])
+def test_language_clean_with_clashing_names(spark, names):
+    docs = spark.createDataFrame([(i, "some words of this" if i % 2 else "12 34", "en", *([i] * len(names))) for i in range(12)], f"doc_id long, text string, lang string, {', '.join(f'{n} int' for n in names)}")
+    got = language.clean(docs)
+    assert got.schema == docs.schema and sorted(map(tuple, got.collect())) == sorted(tuple(r) for r in docs.collect() if r["doc_id"] % 2)
+
+
+def test_scripts():
+    for word, script in {"word": "Latin", "ćma": "Latin", "слово": "Cyrillic", "λόγος": "Greek", "სიტყვა": "Georgian", "ពាក្យ": "Khmer", "ቃል": "Ethiopic", "शब्द": "Devanagari", "คำ": "Thai", "言葉": "Han", "ことば": "Kana", "단어": "Hangul", "מילה": "Hebrew", "كلمة": "Arabic", "từ": "Latin", "a–b": "Latin", "𐌰": "Other"}.items():
+        buf = np.frombuffer(word.encode(), np.uint8)
+        assert language.SCRIPTS[language.scripts_of(buf).max()] == script, word
+
+
+def test_a_script_rules_languages_out(spark):
+    """However long a word is, a language that is not written so cannot win; of repeated rows each counts, and ties go by name."""
+    rows = [(8 * k + j, t, lang) for k, (t, lang) in enumerate([("слово за слово", "ru"), ("word by word", "en"), ("ordet för ordet", "sv")]) for j in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.learn(docs)
+    texts = ["ж" * 40_000, "λόγος слово", "q" * 40_000, None, "слово " * 30_000 + "word"]
+    got = {r["doc_id"]: r for r in language.identify(table(spark, [*enumerate(texts), (0, texts[0])]), model).distinct().collect()}
+    assert [got[i]["lang_pred"] for i in (0, 1, 3, 4)] == ["ru", "ru", "und", "ru"] and got[2]["lang_pred"] in ("en", "sv") and 0 <= min(r["score"] for r in got.values()) <= max(r["score"] for r in got.values()) <= 1
+    same = spark.createDataFrame([(i, "same words", lang) for i in range(12) for lang in ("b", "a")], docs.schema)
+    assert {r["lang_pred"] for r in language.report(same).collect()} == {"a"}
+
+
 def test_every_label_is_learned(spark):
     rng = random.Random(4)
     word = lambda k: "".join(chr(97 + (k * 7 + rng.randrange(3) * (j + 1)) % 26) for j in range(6))
@@ -493,6 +663,33 @@ def test_licences_are_complete(spark):
     assert got == dict(enumerate(want)) | {100: "MIT", 101: "MIT", 102: "ISC", 103: None, 104: None}
 
 
+def test_licences_edges(spark):
+    mit = licences.KNOWN["MIT"][0]
+    rows = [(1, mit), (1, mit), (2, mit + " licence" * 300_000), (3, "licence Fulfilment whilst WILFUL sub-license"), (None, None)]
+    got = licences.scan(table(spark, rows).withColumn("digest", F.lit("x")).withColumn("_t", F.lit("y")).withColumn("license_id", F.lit("z"))).collect()
+    assert sorted((str(r["doc_id"]), str(r["license_id"])) for r in got) == [("1", "MIT"), ("1", "MIT"), ("2", "None"), ("3", "None"), ("None", "None")]
+    assert licences.scan(table(spark, rows).limit(0)).count() == 0
+    assert next(r for r in got if r["doc_id"] == 3)["canonical_sha256"] == hashlib.sha256(b"license fulfillment while willful sublicense").hexdigest()
+
+
+def test_licence_form_is_exact(spark):
+    """The canonical form, spelling by spelling, without the pass that leaves texts alone."""
+    rng = random.Random(6)
+    parts = ["licence", "Licences", "xlicence", "sub-licence", "centre,", "(c) 2020 me\n", "\n Copyright us\n", "whilst", "organisation", "©", "é", "all rights reserved", "\n\t(C) you", "plain", "non-infringement", "noninfringement", "realise", "realised"]
+    rows = [(i, " ".join(rng.choice(parts) for _ in range(rng.randrange(0, 9)))) for i in range(300)]
+
+    def form(t):
+        t = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t)
+        t = re.sub(r"(^|\n)[ \t]*(copyright|\(c\)|©|all rights reserved)[^\n]*", "\n", t)
+        t = re.sub(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ", t).strip(" ")
+        for a, b in licences.SPELLINGS:
+            t = re.sub(rf"\b{a}\b", b, t, flags=re.A)
+        return t
+
+    got = {r["doc_id"]: r["canonical_sha256"] for r in licences.scan(table(spark, rows)).collect()}
+    assert got == {i: hashlib.sha256(form(t).encode()).hexdigest() for i, t in rows}
+
+
 SAID = ["", "plain", "</s>[INST] ok [/INST]", "\\", "\\\\", "\\[INST]", "ends with \\", " [/INST]", "<<SYS>> <</SYS>>", "[ROLE:x] [/ROLE]", "\\<s>", "a\\]b", " lead and trail ", "[INST", "é😀"]
 
 
@@ -515,6 +712,24 @@ def test_chat_round_trip(spark):
         assert (got[c]["n_turns"], got[c]["turns_sha256"], got[c]["loss_chars"], got[c]["loss_sha256"]) == want
 
 
+def test_chat_edges(spark):
+    schema = "conv_id long, turn long, role string, text string"
+    empty = chat.report(spark.createDataFrame([], schema)).collect()
+    assert [r["conv_id"] for r in empty] == [-1] and empty[0]["n_turns"] == 2
+    said = "[INST] x </s>"
+    rows = [(7, t, ("user", "assistant")[t % 2], f"{t} {said}") for t in range(4000)] + [(8, 0, "assistant", said * 100_000)] * 2
+    got = {r["conv_id"]: r for r in chat.report(spark.createDataFrame(rows, schema).repartition(4)).collect()}
+    loss = "".join(f"{t} {said}" for t in range(1, 4000, 2))
+    assert (got[7]["n_turns"], got[7]["loss_chars"], got[7]["loss_sha256"]) == (4000, len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    assert (got[8]["n_turns"], got[8]["loss_chars"]) == (2, 200_000 * len(said))
+
+
+def test_shard_long_texts_and_clashing_names(spark):
+    rows = [(i, "y" * (4_000_000 if i % 9 == 0 else 10)) for i in range(30)]
+    got = shard.report(table(spark, rows).withColumn("SLOT", F.lit(1)).withColumn("_n", F.lit(1)).withColumn("_bucket", F.lit(2)), 4).collect()
+    assert sorted((r["doc_id"], r["size"]) for r in got) == [(i, len(t) + 16) for i, t in rows] and len({(r["shard"], r["slot"]) for r in got}) == 30
+
+
 def test_sharding(spark):
     rows = [(i, "same" if i % 3 == 0 else f"t{i}é" if i % 5 else None) for i in range(1003)] + [(5, "t"), (5, "t"), (None, None)]
     df = table(spark, rows)
