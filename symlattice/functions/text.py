@@ -122,8 +122,14 @@ def pure_name(c: Column) -> Column:
     return _flag(c, "= 0")
 
 
-def modifiers(const: Column, volatile: Column) -> Column:
-    """const and volatile before a keyword, each followed by a space."""
+def modifiers(const: Column, volatile: Column, strict: bool = True) -> Column:
+    """const and volatile before a keyword.
+
+    Strictly as the original prints: one space between the two and none behind, so that
+    the keyword follows at once.  Without strict each is followed by a space.
+    """
+    if strict:
+        return F.concat_ws(" ", const_name(const), volatile_name(volatile))
     return F.concat(or_empty(_flag(const, "const ")), or_empty(_flag(volatile, "volatile ")))
 
 

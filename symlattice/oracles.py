@@ -123,18 +123,37 @@ tcomp AS (SELECT td.sym_id, td.name, td.parent_id, bool_or(vol) AS vol, bool_or(
   coalesce(string_agg(type, ' ' ORDER BY depth) FILTER (type <> '' AND tag = 'Typedef'), '') AS others FROM td JOIN piece ON root = td.type_id GROUP BY ALL),
 ttext AS (SELECT sym_id, parent_id, name, {_render("''")} || CASE WHEN concat_ws('', type, ptr, arr) <> '' OR vol OR con OR cp OR br THEN ' ' ELSE '' END AS before, CASE WHEN others <> '' THEN ' ' || others ELSE '' END AS after FROM tcomp)"""
 
+#: The same for all typedefs: a part stands as its own type, so its name is the first of those at the end.
+_TYPEDEFS = _TYPEDEF.replace("FROM td JOIN piece", "FROM (SELECT sym_id, name, parent_id, type_id FROM td UNION ALL SELECT sym_id, '', NULL, sym_id FROM pt WHERE sym_tag = 'Typedef') td JOIN piece")
+
+#: Everything below the nations, with the composed type of each: what its own piece adds to the chain below it.
+_DUMP = f"""
+empty AS (SELECT FALSE AS vol, FALSE AS con, FALSE AS cp, FALSE AS br, '' AS type, '' AS ptr, '' AS arr),
+shown AS (
+  SELECT da.sym_id, 'Data' AS sym_tag, comp.* EXCLUDE (root), da.name AS nm, {_BIT} AS bits FROM da JOIN comp ON root = da.type_id
+  UNION ALL SELECT par.sym_id, 'Data', comp.* EXCLUDE (root), par.name, '' FROM par JOIN comp ON root = par.type_id
+  UNION ALL SELECT val.sym_id, 'Data', empty.*, val.name, '' FROM val, empty
+  UNION ALL SELECT sym_id, 'Enum', FALSE, FALSE, FALSE, FALSE, name, '', '', '', '' FROM en
+  UNION ALL SELECT sym_id, 'Typedef', vol, con, cp, br, concat_ws(' ', name, nullif(type, '')), ptr, arr, '', '' FROM td JOIN comp ON root = type_id
+  UNION ALL SELECT fr.sym_id, 'Friend', FALSE, FALSE, FALSE, FALSE, udt.name, '', '', '', '' FROM fr JOIN udt ON udt.sym_id = fr.type_id
+  UNION ALL SELECT sym_id, 'BaseClass', empty.*, '', '' FROM bc, empty
+  UNION ALL SELECT fn.sym_id, 'Function', vol, con OR fn.const_type, cp, br OR coalesce(declared, '') <> '', type, ptr, CASE WHEN coalesce(declared, '') <> '' THEN '(' || declared || ')' ELSE '' END || arr, '', ''
+    FROM fn JOIN ft ON ft.sym_id = fn.type_id JOIN comp ON root = ft.type_id LEFT JOIN args ON args.parent_id = ft.sym_id),
+tree(root_id, sym_id, depth, path) AS (SELECT sym_id, sym_id, 0, CAST([] AS BIGINT[]) FROM udt WHERE parent_id <> 0
+  UNION ALL SELECT root_id, symbols.sym_id, depth + 1, path || [symbols.ordinal, symbols.sym_id] FROM tree JOIN symbols ON symbols.parent_id = tree.sym_id)"""
+
 # Lines of a class: (class, order within it, text), with the level of the class.
 _FIELD = _pad("(repeat('    ', 2) || body || '; ')")
 _CLASS_LINES = f"""
 lines AS (
   SELECT root, path, text FROM (
     SELECT sym_id AS root, [0] AS path, '// size: ' || length || ' byte' AS text FROM udt WHERE parent_id = 0
-    UNION ALL SELECT sym_id, [1], CASE WHEN const_type THEN 'const ' ELSE '' END || {_KEYWORD} || ' ' || CASE WHEN const_type THEN 'const ' ELSE '' END || name FROM udt WHERE parent_id = 0
+    UNION ALL SELECT sym_id, [1], CASE WHEN const_type THEN 'const' ELSE '' END || {_KEYWORD} || ' ' || CASE WHEN const_type THEN 'const ' ELSE '' END || name FROM udt WHERE parent_id = 0
     UNION ALL SELECT sym_id, [2], '{{' FROM udt WHERE parent_id = 0 UNION ALL SELECT sym_id, [4], '}};' FROM udt WHERE parent_id = 0
     UNION ALL SELECT DISTINCT parent_id, [3, 4, 0, 1], '    /// CLASSES:' FROM udt WHERE parent_id <> 0
     UNION ALL SELECT d.parent_id, [3, 4, 1, d.ordinal] || x.path, x.text FROM udt d JOIN (
       SELECT sym_id AS class, [0] AS path, '    // size: ' || length || ' byte' AS text FROM udt WHERE length IS NOT NULL
-      UNION ALL SELECT udt.sym_id, [1], '    ' || {_KEYWORD} || ' ' || udt.name || coalesce(b.t, '') FROM udt LEFT JOIN (SELECT bc.parent_id, ' : ' || string_agg(coalesce(access || ' ', '') || {_scoped('bc.name', "own")}, ', ' ORDER BY bc.ordinal, bc.sym_id) AS t FROM bc JOIN own ON own.sym_id = bc.parent_id GROUP BY bc.parent_id) b ON b.parent_id = udt.sym_id
+      UNION ALL SELECT udt.sym_id, [1], CASE WHEN length IS NULL THEN '    ' ELSE '' END || '    ' || {_KEYWORD} || ' ' || udt.name || coalesce(b.t, '') FROM udt LEFT JOIN (SELECT bc.parent_id, ' : ' || string_agg(coalesce(access || ' ', '') || {_scoped('bc.name', "own")}, ', ' ORDER BY bc.ordinal, bc.sym_id) AS t FROM bc JOIN own ON own.sym_id = bc.parent_id GROUP BY bc.parent_id) b ON b.parent_id = udt.sym_id
       UNION ALL SELECT sym_id, [2], '    {{' FROM udt UNION ALL SELECT sym_id, [4], '    }};' FROM udt
       UNION ALL SELECT parent_id, [3, section, 0, 1], '        /// ' || header || ':' FROM sec UNION ALL SELECT parent_id, [3, section, 0, 0], '' FROM sec WHERE blank_before
       UNION ALL SELECT fr.parent_id, [3, 1, 1, fr.ordinal], '        friend ' || {_scoped('udt.name', 'own')} || ';' FROM fr JOIN udt ON udt.sym_id = fr.type_id JOIN own ON own.sym_id = fr.parent_id
@@ -184,7 +203,7 @@ ORACLES: dict[str, str] = {
     "type_chain_text": _sql(f"SELECT root AS sym_id, {_render(repr(''))} AS text FROM comp", _TEXT, recursive=True),
     "base_type_names": _sql(f"""SELECT sym_id, {_base('base_type', 'length')} AS base, CAST(NULL AS VARCHAR) AS udt, CASE sym_tag WHEN 'Typedef' THEN 'typedef' ELSE {_base('base_type', 'length')} END AS keyword FROM pt WHERE sym_tag IN ('BaseType', 'Typedef')
       UNION ALL SELECT sym_id, NULL, {_KEYWORD}, {_KEYWORD} FROM udt UNION ALL SELECT sym_id, '__int32', NULL, 'enum' FROM en UNION ALL SELECT sym_id, NULL, NULL, 'typedef' FROM td UNION ALL SELECT sym_id, NULL, NULL, 'friend' FROM fr UNION ALL SELECT sym_id, NULL, NULL, NULL FROM fn"""),
-    "qualifier_text": _sql("""SELECT sym_id, CASE WHEN c THEN 'const' END AS c, CASE WHEN v THEN 'volatile' END AS v, CASE WHEN vi THEN 'virtual' END AS virt, CASE WHEN re THEN '&' END AS ref, CASE WHEN st THEN 'static' END AS stat, CASE WHEN c THEN 'const ' ELSE '' END || CASE WHEN v THEN 'volatile ' ELSE '' END AS mods FROM (
+    "qualifier_text": _sql("""SELECT sym_id, CASE WHEN c THEN 'const' END AS c, CASE WHEN v THEN 'volatile' END AS v, CASE WHEN vi THEN 'virtual' END AS virt, CASE WHEN re THEN '&' END AS ref, CASE WHEN st THEN 'static' END AS stat, concat_ws(' ', CASE WHEN c THEN 'const' END, CASE WHEN v THEN 'volatile' END) AS mods FROM (
       SELECT sym_id, const_type AS c, volatile_type AS v, NULL AS vi, is_reference AS re, NULL AS st FROM pt UNION ALL SELECT sym_id, const_type, NULL, NULL, NULL, NULL FROM udt UNION ALL SELECT sym_id, const_type, NULL, is_virtual, NULL, is_static FROM fn UNION ALL SELECT sym_id, NULL, NULL, NULL, NULL, NULL FROM da)"""),
     "scope_strip": _sql(f"SELECT s.sym_id, {_last('s.name', repr('::'))} AS last, {_scoped('s.name', 'p.name')} AS scoped FROM symbols s LEFT JOIN symbols p ON p.sym_id = s.parent_id WHERE s.name IS NOT NULL"),
     "enum_values": _sql(f"SELECT sym_id, name || {_VARIANT} || ',' AS text FROM val"),
@@ -204,7 +223,9 @@ ORACLES: dict[str, str] = {
     "class_lines": _sql("SELECT root AS root_id, row_number() OVER (PARTITION BY root ORDER BY path) AS line_no, text FROM lines", _MEMBERS, _HEADS, _TEXT, _FUNCTION, _TYPEDEF, _SOURCES, _OWN, _BODY, _CLASS_LINES, recursive=True),
     "enum_lines": _sql(f"""SELECT root_id, row_number() OVER (PARTITION BY root_id ORDER BY path) AS line_no, text FROM (
       SELECT sym_id AS root_id, [0] AS path, '// size: 4 byte' AS text FROM en UNION ALL SELECT sym_id, [1], 'enum ' || name || ' : __int32' FROM en UNION ALL SELECT sym_id, [2], '{{' FROM en UNION ALL SELECT sym_id, [4], '}};' FROM en UNION ALL SELECT parent_id, [3, ordinal], '    ' || name || {_VARIANT} || ',' FROM val)"""),
-    "typedef_lines": _sql("SELECT sym_id AS root_id, CAST(1 AS BIGINT) AS line_no, 'typedef ' || before || name || after || ';' AS text FROM ttext", _TEXT, _TYPEDEF, recursive=True),
+    "typedef_lines": _sql("""SELECT sym_id AS root_id, CAST(1 AS BIGINT) AS line_no, concat_ws(' ', CASE WHEN c THEN 'const' END, CASE WHEN v THEN 'volatile' END) || 'typedef ' || concat_ws(' ', nullif(trim(before), ''), nullif(name, ''), nullif(trim(after), '')) || ';' AS text
+      FROM ttext JOIN (SELECT sym_id, NULL AS c, NULL AS v FROM td UNION ALL SELECT sym_id, const_type, volatile_type FROM pt) USING (sym_id)""", _TEXT, _TYPEDEFS, recursive=True),
+    "type_dump": _sql(f"""SELECT root_id, row_number() OVER (PARTITION BY root_id ORDER BY path) AS line_no, depth, sym_tag, {_render('nm', 'bits')} AS text FROM tree JOIN shown USING (sym_id)""", _TEXT, _FUNCTION, _DUMP, recursive=True),
     "settings_get": f"WITH RECURSIVE {_KNOWN}, {_STORED}, {_CRC} SELECT k.name, hash, k.type_id, CAST(coalesce(s.value, k.value) AS BIGINT) AS value FROM known k JOIN hashed USING (name) LEFT JOIN stored s USING (name)",
     "settings_upsert": f"WITH RECURSIVE {_KNOWN}, {_STORED}, {_CRC} SELECT x.name, hash, type_id, CAST(value AS BIGINT) AS value FROM (SELECT name, type_id, value FROM stored UNION ALL SELECT 'GlobalSettings::s_isEnumHex', 'Bool', 1) x JOIN hashed USING (name)",
     "settings_hash": f"WITH RECURSIVE {_KNOWN}, {_CRC} SELECT name, hash FROM hashed",

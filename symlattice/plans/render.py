@@ -51,22 +51,39 @@ def opening(level: Column, o: Options) -> tuple[Column, bool]:
     return (F.concat(X.indent(level), F.lit("{")) if o.brace_on_new_line else F.lit(" {")), o.brace_on_new_line
 
 
+def mentioned(functions: DataFrame, symbols: DataFrame) -> DataFrame:
+    """sym_id of all whose type texts these functions print: return types, parameters and declared argument types."""
+    of = functions.select(F.col("sym_id").alias("parent_id"), F.col("type_id").alias("_ft"))
+    returns = symbols.where("sym_tag = 'FunctionType'").select(F.col("sym_id").alias("_ft"), F.col("type_id").alias("sym_id")).join(of, "_ft", "left_semi").select("sym_id")
+    named = symbols.where("sym_tag = 'Data' and data_kind = 'Param'").join(of, "parent_id", "left_semi").select("sym_id")
+    declared = symbols.where("sym_tag = 'FunctionArgType'").select(F.col("parent_id").alias("_ft"), F.col("type_id").alias("sym_id")).join(of, "_ft", "left_semi").select("sym_id")
+    return _union([returns, named, declared]).where("sym_id is not null")
+
+
+def _heading(o: Options) -> Column:
+    """Indentation of a heading.  The original indents before the size, and again before the heading; without a size line both stand there."""
+    level, sized = F.col("level"), F.col("length").isNotNull() & F.lit(o.size_info)
+    return X.indent(F.when(sized, level).otherwise(2 * level))
+
+
 def function_text(rows: DataFrame, symbols: DataFrame, o: Options = DEFAULT, known: DataFrame | None = None) -> DataFrame:
     """rows (of symbols, with enclosing) with function_text: prefixes, return type, name, arguments, const."""
-    functions = symbols.select(F.col("sym_id").alias("_ft"), F.col("type_id").alias("_returns"), F.col("const_type").alias("_ft_const"))
+    functions = symbols.where("sym_tag = 'FunctionType'").select(F.col("sym_id").alias("_ft"), F.col("type_id").alias("_returns"), F.col("const_type").alias("_ft_const"))
     rows = rows.join(functions, rows["type_id"] == functions["_ft"], "left")
+    if known is None:
+        known = cut(texts(symbols, mentioned(rows, symbols), o.offset_info))
     rows = _with_text(rows, symbols, o, "_returns", "_return_text", known=known)
     params = symbols.where("sym_tag = 'Data' and data_kind = 'Param'").join(rows.select(F.col("sym_id").alias("parent_id")).distinct(), "parent_id", "left_semi")
     named = _with_text(params.select("sym_id", "parent_id", "ordinal"), symbols, o, known=known).groupBy("parent_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "sym_id", "type_text"))).alias("_p"))
     named = named.select(F.col("parent_id").alias("_fn"), F.array_join("_p.type_text", ", ").alias("_named"), F.size("_p").alias("_n_named"))
-    declared = argument_lists(symbols, rows.where("_ft is not null").select(F.col("_ft").alias("sym_id")), o.offset_info).select(F.col("sym_id").alias("_dt"), F.col("args").alias("_declared"), F.col("n_args").alias("_n_args"))
+    declared = argument_lists(symbols, rows.where("_ft is not null").select(F.col("_ft").alias("sym_id")), o.offset_info, known=known).select(F.col("sym_id").alias("_dt"), F.col("args").alias("_declared"), F.col("n_args").alias("_n_args"))
     rows = rows.join(named, rows["sym_id"] == named["_fn"], "left").join(declared, rows["_ft"] == declared["_dt"], "left")
     n, m = F.coalesce("_n_named", F.lit(0)), F.coalesce("_n_args", F.lit(0))
     more = F.when(n != m, F.concat(F.when(n > 0, " <- ").otherwise(""), X.or_empty(F.col("_declared")))).otherwise("")
     text = F.concat(
         X.or_empty(F.concat(X.virtual_name(F.col("is_virtual")), F.lit(" "))), X.or_empty(F.concat(X.static_name(F.col("is_static")), F.lit(" "))),
         X.or_empty(F.concat(F.col("_return_text"), F.lit(" "))), marked(F.col("name")), F.lit("("), X.or_empty(F.col("_named")), more, F.lit(")"),
-        F.when(F.coalesce("const_type", F.lit(False)) | F.coalesce("_ft_const", F.lit(False)), " const").otherwise(""), F.lit(";"),
+        F.when(F.col("const_type"), " const").when(F.col("_ft_const"), " (null)").otherwise(""), F.lit(";"),  # as the original prints a type's own const
     )
     rows = rows.withColumn("function_text", unmarked(text, F.col("enclosing"), o.non_scoped))
     return rows.drop("_ft", "_returns", "_ft_const", "_return_text", "_fn", "_named", "_n_named", "_dt", "_declared", "_n_args")
@@ -76,7 +93,7 @@ def enum_lines(rows: DataFrame, symbols: DataFrame, o: Options = DEFAULT) -> Dat
     """Lines of enums; rows have root_id, path, level, enclosing and the columns of symbols."""
     level = F.col("level")
     brace, own = opening(level, o)
-    head = F.concat(X.indent(level), X.modifiers(F.col("const_type"), F.col("volatile_type")), F.lit("enum "), X.or_empty(F.col("name")), X.base_of_enum(F.col("base_type"), F.col("length")))
+    head = F.concat(_heading(o), X.modifiers(F.col("const_type"), F.col("volatile_type")), F.lit("enum "), X.or_empty(F.col("name")), X.base_of_enum(F.col("base_type"), F.col("length")))
     parts = [_line(rows, _path(HEAD), head if own else F.concat(head, brace)), _line(rows, _path(CLOSE), F.concat(X.indent(level), X.token("scope_end")))]
     if own:
         parts.append(_line(rows, _path(OPEN), brace))
@@ -126,13 +143,11 @@ def class_lines(roots: DataFrame, symbols: DataFrame, lines: DataFrame | None =
     shown = cut(M.members(places, symbols).join(around, F.col("parent_id") == F.col("_class")).drop("_class"))
     # One resolution for all types that the classes mention, but those being defined.
     functions = shown.where("sym_tag = 'Function'")
-    of_functions = functions.select(F.col("type_id").alias("_ft")).join(symbols.select(F.col("sym_id").alias("_ft"), F.col("type_id").alias("sym_id")), "_ft").select("sym_id")
-    params = symbols.where("sym_tag = 'Data' and data_kind = 'Param'").join(functions.select(F.col("sym_id").alias("parent_id")), "parent_id", "left_semi").select("sym_id")
-    wanted = _union([places.select("sym_id"), shown.where("sym_tag in ('Data', 'Friend')").select("sym_id"), of_functions, params])
+    wanted = _union([places.select("sym_id"), shown.where("sym_tag in ('Data', 'Friend')").select("sym_id"), mentioned(functions, symbols)])
     known = cut(texts(symbols, wanted.where("sym_id is not null"), o.offset_info))
     whole = _with_text(rows, symbols, o, known=known).join(bases, F.col("sym_id") == F.col("_derived"), "left")
     keyword = X.keyword_text(F.col("sym_tag"), F.col("base_type"), F.col("length"), F.col("udt_kind"))
-    head = F.concat(X.indent(level), X.modifiers(F.col("const_type"), F.col("volatile_type")), keyword, unmarked(F.concat("type_text", X.or_empty(F.col("bases"))), F.col("own"), o.non_scoped))
+    head = F.concat(_heading(o), X.modifiers(F.col("const_type"), F.col("volatile_type")), keyword, unmarked(F.concat("type_text", X.or_empty(F.col("bases"))), F.col("own"), o.non_scoped))
     parts = [_line(whole, _path(HEAD), head if on_own_line else F.concat(head, brace)), _line(rows, _path(CLOSE), F.concat(X.indent(level), X.token("scope_end")))]
     if on_own_line:
         parts.append(_line(rows, _path(OPEN), brace))

