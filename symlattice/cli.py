@@ -117,9 +117,9 @@ def help_lines(spark: SparkSession) -> DataFrame:
 
 def verify_format(path: str) -> str:
     """path, if it ends in .pdb (as written here); two errors tell a wrong ending from a missing one."""
-    ending = Path(path).suffix
-    if ending == EXTENSION:
+    if path[-len(EXTENSION) :] == EXTENSION:
         return path
+    ending = Path(path).suffix
     raise EngineError(f"wrong extension {ending}, not {EXTENSION}" if ending else f"extension {EXTENSION} is missing")
 
 

@@ -19,7 +19,10 @@ SIZED_NAMES = {
 UDT_KEYWORDS = {"Struct": "struct", "Class": "class", "Union": "union"}
 ACCESS_NAMES = {1: "private", 2: "protected", 3: "public"}
 TAG_KEYWORDS = {"Typedef": "typedef", "Enum": "enum", "Friend": "friend", "Label": "label", "UsingNamespace": "using namespace"}
-LOCATIONS = ("Static", "TLS", "RegRel", "ThisRel", "Enregistered", "BitField", "Slot", "IlRel")
+LOCATIONS = {
+    "Null": "None", "Static": "Static", "TLS": "TLS", "RegRel": "Register-relative (stack variable)", "ThisRel": "This-relative (class member)",
+    "Enregistered": "Enregistered (in register)", "BitField": "Bit field", "Constant": "Constant",
+}
 TOKENS = {
     "line_comment": "//", "doc_comment": "///", "comment_begin": "/*", "comment_end": "*/", "scope_begin": "{", "scope_end": "};",
     "args_begin": "(", "args_end": ")", "inheritance": " : ", "indent": "    ", "pointer": "*", "reference": "&",
@@ -212,8 +215,9 @@ def vtable_offset_text(offset: Column) -> Column:
 
 
 def location_text(location: Column) -> Column:
-    """Name of a location kind, or 'Unknown (n)'."""
-    return F.when(location.isin(*LOCATIONS), location).otherwise(F.concat(F.lit("Unknown ("), or_empty(location), F.lit(")")))
+    """'// Location: ' and what the kind means, or 'Unknown (n)'; NULL where there is no location."""
+    names = F.create_map(*[F.lit(x) for pair in LOCATIONS.items() for x in pair])
+    return F.when(location.isNotNull(), F.concat(F.lit("// Location: "), F.coalesce(names[location], F.concat(F.lit("Unknown ("), location, F.lit(")")))))
 
 
 def base_of_enum(base_type: Column, length: Column) -> Column:

@@ -226,6 +226,23 @@ ORACLES: dict[str, str] = {
     "typedef_lines": _sql("""SELECT sym_id AS root_id, CAST(1 AS BIGINT) AS line_no, concat_ws(' ', CASE WHEN c THEN 'const' END, CASE WHEN v THEN 'volatile' END) || 'typedef ' || concat_ws(' ', nullif(trim(before), ''), nullif(name, ''), nullif(trim(after), '')) || ';' AS text
       FROM ttext JOIN (SELECT sym_id, NULL AS c, NULL AS v FROM td UNION ALL SELECT sym_id, const_type, volatile_type FROM pt) USING (sym_id)""", _TEXT, _TYPEDEFS, recursive=True),
     "type_dump": _sql(f"""SELECT root_id, row_number() OVER (PARTITION BY root_id ORDER BY path) AS line_no, depth, sym_tag, {_render('nm', 'bits')} AS text FROM tree JOIN shown USING (sym_id)""", _TEXT, _FUNCTION, _DUMP, recursive=True),
+    "children_scan": _sql("SELECT sym_id, parent_id, ordinal FROM udt WHERE parent_id = 1000000000 OR (parent_id = 0 AND name = 'ASIA') UNION ALL SELECT sym_id, parent_id, ordinal FROM symbols WHERE parent_id = 2000000000"),
+    "first_enum_by_name": _sql("SELECT sym_id, name FROM en WHERE lower(name) = 'asia::china::kind' ORDER BY ordinal LIMIT 1"),
+    "first_typedef_by_name": _sql("SELECT sym_id, name FROM td WHERE name = 'ASIA::INDIA::Alias' ORDER BY ordinal LIMIT 1"),
+    "scoped_symbols": _sql("SELECT sym_tag = 'UDT' AS scoped, count(*) AS n FROM symbols GROUP BY 1"),
+    "function_flags": _sql("SELECT sym_id, CASE WHEN ordinal % 3 = 0 THEN 'inline' END AS inl_spec_text, CASE WHEN ordinal % 11 = 0 THEN 'naked' END AS is_naked_text, CASE WHEN ordinal % 13 = 0 THEN 'noreturn' END AS no_return_text, CASE WHEN ordinal % 17 = 0 THEN 'noinline' END AS no_inline_text, CASE WHEN ordinal % 19 = 0 THEN '= 0' END AS is_pure_text FROM fn"),
+    "address_texts": _sql("""SELECT sym_id, printf('// RVA: 0x%X', 16 * ordinal) AS rva_text, printf('// VA: 0x%X', 5368709120 + 16 * ordinal) AS va_text, '// ' || printf('0x%X', slot) AS slot_text, CASE WHEN ordinal % 10 <> 9 THEN '// Location: ' ||
+      ['None', 'Static', 'TLS', 'Register-relative (stack variable)', 'This-relative (class member)', 'Enregistered (in register)', 'Bit field', 'Constant', 'Unknown (77)'][ordinal % 9 + 1] END AS location FROM fn"""),
+    "bit_field_pairs": _sql("SELECT sym_id, bit AS bit_position, length AS bit_length FROM da WHERE bit IS NOT NULL"),
+    "utf16_names": _sql("SELECT sym_id, CAST(2 * length(name) AS INT) AS n_bytes, name AS back FROM symbols WHERE name IS NOT NULL"),
+    "enum_lines_terse": _sql("""SELECT root_id, row_number() OVER (PARTITION BY root_id ORDER BY path) AS line_no, text FROM (
+      SELECT sym_id AS root_id, [1] AS path, 'enum ' || name || ' : __int32 {' AS text FROM en UNION ALL SELECT sym_id, [4], '};' FROM en UNION ALL SELECT parent_id, [3, ordinal], '    ' || name || ' = ' || printf('%X', i64 & 4294967295) || ',' FROM val)"""),
+    "base_class_list_public": _sql("SELECT parent_id AS sym_id, ' : ' || string_agg('public ' || name, ', ' ORDER BY ordinal, sym_id) AS bases FROM bc GROUP BY 1"),
+    "function_pointer_texts": _sql(f"""SELECT sym_id, {_render("''")} AS text FROM (SELECT 100000000000 + ft.sym_id AS sym_id, vol, con, cp, coalesce(declared, '') <> '' OR arr <> '' OR strpos(tags, 'Array') > 0 AS br, type, '*' || ptr AS ptr, CASE WHEN coalesce(declared, '') <> '' THEN '(' || declared || ')' ELSE '' END || arr AS arr
+      FROM ft JOIN comp ON root = ft.type_id JOIN (SELECT root, string_agg(tag, ' ') AS tags FROM piece GROUP BY root) t USING (root) LEFT JOIN args ON args.parent_id = ft.sym_id)""", _TEXT, _FUNCTION, recursive=True),
+    "enum_pointer_texts": _sql("SELECT 200000000000 + sym_id AS sym_id, name || '* const[3]' AS text FROM en"),
+    "settings_append": f"WITH {_KNOWN}, {_STORED}, more AS (SELECT type_id FROM stored UNION ALL SELECT 'Bool') SELECT (SELECT count(*) FROM more) AS n_entries, type_id, CAST(12 * count(*) AS BIGINT) AS n_bytes FROM more GROUP BY type_id",
+    "settings_file": f"WITH RECURSIVE {_KNOWN}, {_STORED}, {_CRC} SELECT name, hash, type_id, CAST(value AS BIGINT) AS value FROM stored JOIN hashed USING (name)",
     "settings_get": f"WITH RECURSIVE {_KNOWN}, {_STORED}, {_CRC} SELECT k.name, hash, k.type_id, CAST(coalesce(s.value, k.value) AS BIGINT) AS value FROM known k JOIN hashed USING (name) LEFT JOIN stored s USING (name)",
     "settings_upsert": f"WITH RECURSIVE {_KNOWN}, {_STORED}, {_CRC} SELECT x.name, hash, type_id, CAST(value AS BIGINT) AS value FROM (SELECT name, type_id, value FROM stored UNION ALL SELECT 'GlobalSettings::s_isEnumHex', 'Bool', 1) x JOIN hashed USING (name)",
     "settings_hash": f"WITH RECURSIVE {_KNOWN}, {_CRC} SELECT name, hash FROM hashed",

@@ -14,7 +14,7 @@ from .functions import text as X
 from .operators import lookup, navigate, predicates
 from .plans.stages import shared_folder
 from .plans import compilands, members, render, types
-from .schema import SETTINGS
+from .schema import GLOBAL, SETTINGS, SYMBOLS, conform
 from .settings import Options
 from .sources.catalog import ENUM, FUNCTION_TYPE, NATION, PART, REGION, Catalog, adapt, load, save, validate
 
@@ -255,6 +255,82 @@ def type_dump(c: Catalog) -> DataFrame:
     return render.dump_tree(c.symbols, nations).select("root_id", place.alias("line_no"), "depth", "sym_tag", "text")
 
 
+@query
+def children_scan(c: Catalog) -> DataFrame:
+    """Children of one symbol, in order, by tag and name."""
+    own = predicates.children(c.symbols, REGION, "UDT").unionByName(predicates.children(c.symbols, GLOBAL, "UDT", "aSiA")).unionByName(predicates.children(c.symbols, NATION))
+    return own.select("sym_id", "parent_id", "ordinal")
+
+
+@query
+def first_enum_by_name(c: Catalog) -> DataFrame:
+    return predicates.first_by_name(c.symbols.withColumn("parent_id", F.lit(GLOBAL)), "Enum", "asia::china::kind").select("sym_id", "name")
+
+
+@query
+def first_typedef_by_name(c: Catalog) -> DataFrame:
+    return predicates.first_by_name(c.symbols.withColumn("parent_id", F.lit(GLOBAL)), "Typedef", "ASIA::INDIA::Alias", case_sensitive=True).select("sym_id", "name")
+
+
+@query
+def scoped_symbols(c: Catalog) -> DataFrame:
+    return c.symbols.groupBy(predicates.is_scoped(F.col("sym_tag")).alias("scoped")).agg(F.count("*").alias("n"))
+
+
+@query
+def function_flags(c: Catalog) -> DataFrame:
+    flags = {"inl_spec": X.inline_name, "is_naked": X.naked_name, "no_return": X.noreturn_name, "no_inline": X.noinline_name, "is_pure": X.pure_name}
+    return _tag(c, "Function").select("sym_id", *[f(F.col(k)).alias(f"{k}_text") for k, f in flags.items()])
+
+
+@query
+def address_texts(c: Catalog) -> DataFrame:
+    return _tag(c, "Function").select("sym_id", X.rva_text(F.col("rva")).alias("rva_text"), X.va_text(F.col("va")).alias("va_text"), X.vtable_offset_text(F.col("virtual_base_offset")).alias("slot_text"), X.location_text(F.col("location_type")).alias("location"))
+
+
+@query
+def bit_field_pairs(c: Catalog) -> DataFrame:
+    pair = X.bit_field(F.col("bit_position"), F.col("length").cast("bigint"))
+    return _tag(c, "Data").where("bit_position is not null").select("sym_id", pair["bit_position"].alias("bit_position"), pair["length"].alias("bit_length"))
+
+
+@query
+def utf16_names(c: Catalog) -> DataFrame:
+    """Names to UTF-16 and back."""
+    wide = X.utf8_to_utf16(F.col("name"))
+    return c.symbols.where("name is not null").select("sym_id", F.octet_length(wide).alias("n_bytes"), X.utf16_to_utf8(wide).alias("back"))
+
+
+@query
+def enum_lines_terse(c: Catalog) -> DataFrame:
+    """Enums with the brace on the heading's line, no sizes and hexadecimal values."""
+    return render.numbered(render.type_lines(_tag(c, "Enum"), c.symbols, o=Options(brace_on_new_line=False, size_info=False, enum_hex=True)))
+
+
+@query
+def base_class_list_public(c: Catalog) -> DataFrame:
+    """Base classes with the access that a setting gives to all."""
+    return navigate.base_classes(_tag(c, "UDT"), c.symbols, 3)
+
+
+@query
+def function_pointer_texts(c: Catalog) -> DataFrame:
+    """Pointers to all function types: function types inside chains, with their arguments."""
+    types_ = _tag(c, "FunctionType").select("sym_id")
+    pointers = conform(types_.select((F.col("sym_id") + 100_000_000_000).alias("sym_id"), F.lit("Pointer").alias("sym_tag"), F.col("sym_id").alias("type_id")), SYMBOLS)
+    return types.type_text(c.symbols.unionByName(pointers), pointers)
+
+
+@query
+def enum_pointer_texts(c: Catalog) -> DataFrame:
+    """Arrays of constant pointers to all enums: a chain ends at an enum, whatever its own type is."""
+    kinds = _tag(c, "Enum").select("sym_id")
+    pointers = kinds.select((F.col("sym_id") + 100_000_000_000).alias("sym_id"), F.lit("Pointer").alias("sym_tag"), F.col("sym_id").alias("type_id"), F.lit(True).alias("const_type"))
+    arrays = kinds.select((F.col("sym_id") + 200_000_000_000).alias("sym_id"), F.lit("Array").alias("sym_tag"), (F.col("sym_id") + 100_000_000_000).alias("type_id"), F.lit(3).alias("array_count"))
+    s = c.symbols.withColumn("type_id", F.when(F.col("sym_tag") == "Enum", F.lit(PART + 1)).otherwise(F.col("type_id")))
+    return types.type_text(s.unionByName(conform(pointers, SYMBOLS)).unionByName(conform(arrays, SYMBOLS)), arrays)
+
+
 def _stored(spark: SparkSession) -> DataFrame:
     rows = [(name, S.name_hash(name), kind, 0 if kind == "Bool" else 2) for name, (kind, _) in S.registry().items() if "Is" not in name and "is" not in name.split("_", 1)[1][:2]]
     return spark.createDataFrame(rows, SETTINGS)
@@ -276,10 +352,24 @@ def settings_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.listing(_stored(spark))
 
 
+def settings_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many entries there are after one more, and the bytes that the entries of each type take."""
+    more = S.append(_stored(spark), S.set_value(_stored(spark).limit(0), S.NAMES["enum_hex"], "5"))
+    sizes = F.create_map(*[F.lit(x) for kind in S.TYPES for x in (kind, S.entry_size(kind))])
+    return S.count(more).join(more.groupBy("type_id").agg(F.sum(sizes[F.col("type_id")]).alias("n_bytes")))
+
+
+def settings_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The settings written to a file of the original's layout and read back."""
+    path = f"{shared_folder(spark)}/settings-{uuid.uuid4().hex}"
+    S.write_file(_stored(spark), path)
+    return S.read_file(spark, path)
+
+
 def int_prefix_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = spark.read.parquet(f"{sf_dir}/part.parquet")
     made = F.concat(F.when(F.col("p_partkey") % 3 == 0, F.lit("")).when(F.col("p_partkey") % 3 == 1, F.lit(" -")).otherwise(F.lit("x")), F.col("p_partkey"), F.col("p_name"))
     return p.select("p_partkey", X.int_prefix(made).alias("value"))
 
 
-QUERIES |= {f.__name__: f for f in (settings_get, settings_upsert, settings_hash, settings_listing, int_prefix_parse)}
+QUERIES |= {f.__name__: f for f in (settings_get, settings_upsert, settings_hash, settings_listing, settings_append, settings_file, int_prefix_parse)}

@@ -156,9 +156,31 @@ def decode_file(data: bytes) -> list[tuple[int, str, int]]:
         raise EngineError("not a settings file")
     names = {n: kind for kind, (n, _) in TYPES.items()}
     n = min(struct.unpack_from("<I", data, 4)[0], CAPACITY)
+    if unknown := {t for t, _, _ in struct.iter_unpack("<III", data[HEADER_BYTES : HEADER_BYTES + n * ENTRY_BYTES])} - names.keys():
+        raise EngineError(f"a setting has the unknown type {min(unknown)}")
     return [(h, names[t], value) for t, h, value in struct.iter_unpack("<III", data[HEADER_BYTES : HEADER_BYTES + n * ENTRY_BYTES])]
 
 
+def read_file(spark: SparkSession, path: str) -> DataFrame:
+    """The entries of a settings file; the name is null where no known setting has the hash."""
+    found = spark.read.format("binaryFile").load(path).select("content").take(1)  # of a fixed size
+    if not found:
+        raise EngineError(f"{path} does not exist")
+    names = {name_hash(n): n for n in registry()}
+    return spark.createDataFrame([(names.get(h), h, kind, value) for h, kind, value in decode_file(bytes(found[0][0]))], SETTINGS)
+
+
+def write_file(stored: DataFrame, path: str) -> None:
+    """Writes the entries as a settings file, by hash; more than it holds are an error."""
+    rows = stored.orderBy("hash", "type_id").select("hash", "type_id", "value").limit(CAPACITY + 1).collect()
+    spark, jpath = stored.sparkSession, stored.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+    out = jpath.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).create(jpath, True)
+    try:
+        out.write(bytearray(encode_file([tuple(r) for r in rows])))
+    finally:
+        out.close()
+
+
 def default_path() -> str:
     """Documents folder of the user, or the current one where there is none."""
     home = os.path.expanduser("~/Documents")
@@ -169,16 +191,22 @@ def load(spark: SparkSession, path: str | None = None) -> DataFrame:
     """The settings table; the defaults where nothing is stored yet."""
     path = path or default_path()
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not hadoop.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(hadoop):
-        return defaults(spark)
+    fs = hadoop.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if not fs.exists(hadoop):
+        old = path.rstrip("/") + ".old"  # where a crash came between the two renames of save()
+        return spark.read.schema(SETTINGS).parquet(old) if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(old)) else defaults(spark)
     return spark.read.schema(SETTINGS).parquet(path)
 
 
 def save(stored: DataFrame, path: str | None = None) -> None:
-    """Writes beside the old table, then takes its place: stored may itself be read from path."""
+    """Writes beside the old table, then takes its place: stored may itself be read from path.  The old table goes last, so a crash loses nothing."""
     path, spark = path or default_path(), stored.sparkSession
     new = path.rstrip("/") + ".new"
     stored.coalesce(1).write.mode("overwrite").parquet(new)
     fs, at = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), spark._jvm.org.apache.hadoop.fs.Path
-    fs.delete(at(path), True)
+    old = at(path.rstrip("/") + ".old")
+    fs.delete(old, True)
+    if fs.exists(at(path)):
+        fs.rename(at(path), old)
     fs.rename(at(new), at(path))
+    fs.delete(old, True)

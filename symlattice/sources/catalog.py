@@ -89,7 +89,7 @@ def adapt(spark: SparkSession, sf_dir: str) -> Catalog:
     ]
     s = supplier.select(long(c("s_suppkey")).alias("s"), "s_name", long(c("s_nationkey")).alias("n")).join(scopes, "n")
     parts += [
-        s.select((SUPPLIER + c("s")).alias("sym_id"), lit("Function").alias("sym_tag"), F.concat_ws("::", "scope", "s_name").alias("name"), (NATION + c("n")).alias("parent_id"), c("s").alias("ordinal"), (FUNCTION_TYPE + c("s")).alias("type_id"), F.when(c("s") % 10 != 9, c("s") % 2 == 0).alias("is_virtual"), (c("s") % 7 == 0).alias("is_static"), (c("s") % 5 == 0).alias("const_type"), F.when(c("s") % 2 == 0, c("s") % 64 * 4).alias("virtual_base_offset"), (c("s") % 4).alias("addr_section"), (3 * (4 * c("s") + c("s") % 4) + c("s") % 3).alias("addr_offset")),
+        s.select((SUPPLIER + c("s")).alias("sym_id"), lit("Function").alias("sym_tag"), F.concat_ws("::", "scope", "s_name").alias("name"), (NATION + c("n")).alias("parent_id"), c("s").alias("ordinal"), (FUNCTION_TYPE + c("s")).alias("type_id"), F.when(c("s") % 10 != 9, c("s") % 2 == 0).alias("is_virtual"), (c("s") % 7 == 0).alias("is_static"), (c("s") % 5 == 0).alias("const_type"), F.when(c("s") % 2 == 0, c("s") % 64 * 4).alias("virtual_base_offset"), (c("s") % 4).alias("addr_section"), (3 * (4 * c("s") + c("s") % 4) + c("s") % 3).alias("addr_offset"), (c("s") % 3 == 0).alias("inl_spec"), (c("s") % 11 == 0).alias("is_naked"), (c("s") % 13 == 0).alias("no_return"), (c("s") % 17 == 0).alias("no_inline"), (c("s") % 19 == 0).alias("is_pure"), (16 * c("s")).alias("rva"), (5_368_709_120 + 16 * c("s")).alias("va"), F.when(c("s") % 10 != 9, _pick(("Null", "Static", "TLS", "RegRel", "ThisRel", "Enregistered", "BitField", "Constant", "77"), c("s") % 9)).alias("location_type")),
         s.select((FUNCTION_TYPE + c("s")).alias("sym_id"), lit("FunctionType").alias("sym_tag"), (PART + c("s") % 200 + 1).alias("type_id")),
         s.select("s", F.explode(F.when(c("s") % 4 > 0, F.sequence(lit(0).cast("bigint"), c("s") % 4 - 1))).alias("k")).select((ARGUMENT + c("s") * 4 + c("k")).alias("sym_id"), lit("FunctionArgType").alias("sym_tag"), (FUNCTION_TYPE + c("s")).alias("parent_id"), c("k").alias("ordinal"), (PART + (c("s") * 7 + c("k") * 13) % 200 + 1).alias("type_id")),
         s.select("s", F.explode(F.when(c("s") % 3 > 0, F.sequence(lit(0).cast("bigint"), c("s") % 3 - 1))).alias("k")).select((PARAMETER + c("s") * 4 + c("k")).alias("sym_id"), lit("Data").alias("sym_tag"), F.concat(lit("a"), c("k")).alias("name"), (SUPPLIER + c("s")).alias("parent_id"), c("k").alias("ordinal"), lit("Param").alias("data_kind"), (PART + (c("s") * 7 + c("k") * 13) % 200 + 1).alias("type_id")),

@@ -215,7 +215,7 @@ def test_scalars(spark):
     assert [one(spark, X.int_prefix(lit(t))) for t in ("12ab", "abc", "", " -7 ")] == [12, 0, 0, -7]
     assert one(spark, X.crc32(lit("GlobalSettings::s_isSizeInfo"))) == 0x61A23FE4
     assert one(spark, X.va_text(lit("18446744073709551615").cast("decimal(20,0)"))) == "// VA: 0xFFFFFFFFFFFFFFFF" and one(spark, X.rva_text(lit(4096))) == "// RVA: 0x1000" and one(spark, X.vtable_offset_text(lit(16))) == "// 0x10"
-    assert one(spark, X.location_text(lit("TLS"))) == "TLS" and one(spark, X.location_text(lit("9"))) == "Unknown (9)"
+    assert one(spark, X.location_text(lit("TLS"))) == "// Location: TLS" and one(spark, X.location_text(lit("9"))) == "// Location: Unknown (9)" and one(spark, X.location_text(lit("ThisRel"))) == "// Location: This-relative (class member)"
     assert one(spark, X.utf16_to_utf8(X.utf8_to_utf16(lit("añ")))) == "añ" and one(spark, X.utf16_to_utf8(lit(None).cast("binary"))) == ""
     for f, want in ((X.inline_name, "inline"), (X.naked_name, "naked"), (X.noreturn_name, "noreturn"), (X.noinline_name, "noinline"), (X.pure_name, "= 0")):
         assert one(spark, f(lit(True))) == want and one(spark, f(lit(False))) is None
