@@ -44,7 +44,7 @@ TOP = 2.5  # elements a partition at the upper end of a band
 SINGLE = 16  # bands below this size have single elements as partitions
 CELLS = 256  # parts of the domain in a set's histogram
 BUCKET = 2_000_000  # signatures in a bucket, about
-FLUSH = 1_000_000  # signatures a task holds before it sends them
+FLUSH = 500_000  # signatures a task holds before it sends them
 BLOCK = 2048  # members of a group that are held against as many others at once
 
 
