@@ -115,6 +115,11 @@ def help_lines(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(enumerate(lines)), "line_no long, text string").orderBy("line_no")
 
 
+def arguments_text(argv: Sequence[str]) -> str:
+    """How many arguments a line has, the program included, and which; for looking into how a line was split."""
+    return f"Args count: {len(argv)} \nArgs: " + "".join(a + (", " if k < len(argv) else ";") for k, a in enumerate(argv, 1)) + "\n"
+
+
 def verify_format(path: str) -> str:
     """path, if it ends in .pdb (as written here); two errors tell a wrong ending from a missing one."""
     if path[-len(EXTENSION) :] == EXTENSION:

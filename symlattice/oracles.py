@@ -2,7 +2,18 @@
 
 from __future__ import annotations
 
-from .functions import text as X
+# Fixed values, written down here again: the SQL takes nothing from the code that it checks.
+_NAMES = {
+    "Currency": "CY", "Date": "DATE", "Variant": "VARIANT", "Complex": "std::complex", "BSTR": "BSTR", "HRESULT": "HRESULT",
+    "Char16": "char16_t", "Char32": "char32_t", "Char8": "char8_t", "Void": "void",
+    "Bool": "bool", "Char": "char", "WChar": "wchar_t", "Long": "long", "ULong": "unsigned long",
+}
+_SIZED = {
+    "Float": {4: "float", 8: "double", 16: "long double", 0: "float"},
+    "Int": {1: "__int8", 2: "__int16", 4: "__int32", 8: "__int64", 0: "int"},
+    "UInt": {1: "unsigned __int8", 2: "unsigned __int16", 4: "unsigned __int32", 8: "unsigned __int64", 0: "unsigned int"},
+}
+_STOPS = (60, 100, 166, 276, 460, 766)
 
 #: The catalog of the adapter, as common table expressions.
 _CATALOG = """
@@ -59,8 +70,8 @@ def _case(key: str, table: dict) -> str:
 
 
 def _base(base: str, length: str) -> str:
-    sized = " ".join(f"WHEN {base} = '{kind}' THEN CASE {length} " + " ".join(f"WHEN {n} THEN '{t}'" for n, t in names.items() if n) + f" ELSE '{names[0]}' END" for kind, names in X.SIZED_NAMES.items())
-    return f"CASE {sized} ELSE {_case(base, X.BASE_NAMES)} END"
+    sized = " ".join(f"WHEN {base} = '{kind}' THEN CASE {length} " + " ".join(f"WHEN {n} THEN '{t}'" for n, t in names.items() if n) + f" ELSE '{names[0]}' END" for kind, names in _SIZED.items())
+    return f"CASE {sized} ELSE {_case(base, _NAMES)} END"
 
 
 def _last(text: str, sep: str) -> str:
@@ -73,7 +84,7 @@ def _scoped(name: str, around: str) -> str:
 
 def _pad(line: str) -> str:
     """line, filled with spaces up to the next stop of the comment column."""
-    cases = " ".join(f"WHEN length({line}) + {k} < {stop} THEN {stop}" for k, stop in enumerate(X.PAD_STOPS))
+    cases = " ".join(f"WHEN length({line}) + {k} < {stop} THEN {stop}" for k, stop in enumerate(_STOPS))
     return f"({line} || repeat(' ', CAST(CASE {cases} ELSE length({line}) END - length({line}) AS INT)))"
 
 
@@ -105,7 +116,7 @@ def _sql(body: str, *more: str, recursive: bool = False) -> str:
 
 
 _VARIANT = "CASE vt WHEN 'I8' THEN '' WHEN 'I1' THEN ' = ' || (i64 & 255) ELSE ' = ' || i64 END"
-_KEYWORD = _case("['Class', 'Struct', 'Union'][kind + 1]", X.UDT_KEYWORDS)
+_KEYWORD = _case("['Class', 'Struct', 'Union'][kind + 1]", {"Class": "class", "Struct": "struct", "Union": "union"})
 _BIT = "CASE WHEN bit IS NOT NULL AND length > 0 THEN ' : ' || length || '; // ' || " + _HEX.format("bit") + " ELSE '' END"
 _FUNCTION = f"""
 params AS (SELECT parent_id, string_agg({_render('name')}, ', ' ORDER BY ordinal, sym_id) AS named, count(*) AS n FROM par JOIN comp ON root = type_id GROUP BY parent_id),

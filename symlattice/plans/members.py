@@ -50,10 +50,6 @@ def numbered(rows: DataFrame) -> DataFrame:
     return rows.withColumn("position", F.row_number().over(w).cast("bigint")).withColumn("is_first", F.col("position") == 1)
 
 
-def separator(first: Column) -> Column:
-    return F.when(first, F.lit("")).otherwise(F.lit(", "))
-
-
 def field_line(text: Column, level: Column, offset: Column, offsets: bool = True, tabulate: bool = True) -> Column:
     line = F.concat(X.indent(level), text, F.lit("; "))
     if not offsets:

@@ -308,6 +308,11 @@ def test_commands(spark, tmp_path, monkeypatch):
     assert [r[0] for r in spark.read.text(str(tmp_path / "out")).collect()] == SAMPLE
 
 
+def test_arguments_text():
+    assert cli.arguments_text(["symlattice", "-type", "A B", "x.pdb"]) == "Args count: 4 \nArgs: symlattice, -type, A B, x.pdb;\n"
+    assert cli.arguments_text([]) == "Args count: 0 \nArgs: \n"
+
+
 def test_validate(spark):
     s = symbols(spark, [dict(sym_id=1, sym_tag="UDT", parent_id=1, type_id=9), dict(sym_id=1, sym_tag="UDT", parent_id=0)])
     got = {r["problem"]: r["n"] for r in validate(Catalog(s, None, None)).collect()}
