@@ -45,7 +45,9 @@ SINGLE = 16  # bands below this size have single elements as partitions
 CELLS = 256  # parts of the domain in a set's histogram
 BUCKET = 2_000_000  # signatures in a bucket, about
 FLUSH = 500_000  # signatures a task holds before it sends them
-BLOCK = 2048  # members of a group that are held against as many others at once
+BLOCK = 2048  # members of a unit that are held against as many others at once
+ITEMS = 1 << 20  # shingles that either side of a block has, about
+SALTS = 64  # tasks that the rows of one main component are dealt to, at most
 
 
 def shingle_sets(text: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -259,35 +261,68 @@ def _possible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return pairs.distinct().join(of("a"), "a").join(of("b"), "b").select("a", "b", "na", "nb", "ca", "cb").mapInArrow(W.lean(run), "a long, b long, na long, nb long")
 
 
-def _strays(groups: DataFrame, roots: DataFrame, classes: DataFrame) -> DataFrame:
-    """a, b: pairs of a group that lie in different components and that sizes and histograms leave possible.
+def _units(groups: DataFrame, roots: DataFrame) -> DataFrame:
+    """main, group, class, root: members of groups that lie in several components.
 
-    A group's main component is the one with most of its members.  The others are its
-    strays; they are held against all members, in blocks of both.
+    A group's main component is the one with most of its members.  Groups of one main
+    component, which mostly have the same members, are one unit (group 0), so that a
+    class is in it once and a pair is looked at once; they stay apart where that gives
+    fewer pairs.
     """
     placed = groups.where("class <> pivot").select("group", "class").join(roots, F.col("class") == F.col("node"), "left").select("group", "class", F.coalesce("root", "class").alias("root"))
     mixed = placed.groupBy("group", "root").agg(F.count("*").alias("_n")).groupBy("group").agg(F.max(F.struct("_n", "root")).alias("_m"), F.sum("_n").alias("_all")).where("_all > _m._n")
-    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
-    mixed = mixed.select("group", F.col("_m.root").alias("_main"), blocks(F.col("_all")).alias("_mb"), blocks(F.col("_all") - F.col("_m._n")).alias("_sb"))
-    rows = placed.join(mixed, "group").join(classes.select("class", "n", "cells"), "class").withColumn("stray", F.col("root") != F.col("_main"))
+    mixed = mixed.select("group", F.col("_m.root").alias("main"), (F.col("_all") * (F.col("_all") - F.col("_m._n"))).alias("_pairs"))
+    rows = placed.join(mixed, "group").select("main", "group", "class", "root")
+    together = rows.select("main", "class", "root").distinct().groupBy("main").agg((F.count("*") * F.count_if(F.col("root") != F.col("main"))).alias("_together"))
+    apart = mixed.groupBy("main").agg(F.sum("_pairs").alias("_apart"))
+    # A main component may have very many rows, so these are spread by a second key.
+    salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
+    split = together.join(apart, "main").where(F.col("_together") > F.greatest("_apart", F.lit(BLOCK))).select("main", F.lit(True).alias("_split"), salt)
+    rows = rows.withColumn("_salt", F.pmod(F.xxhash64("group", "class"), F.lit(SALTS)).cast("int"))
+    return rows.join(split, ["main", "_salt"], "left").select("main", F.when(F.col("_split"), F.col("group")).otherwise(0).alias("group"), "class", "root").distinct()
+
+
+def _strays(units: DataFrame, known: DataFrame) -> DataFrame:
+    """a, b: links between components, as many as join all those that the links inside the units join; known: class, n, cells, items.
+
+    The members of a unit outside its main component are its strays.  They are held
+    against all members, in blocks of both.  What sizes and histograms leave possible
+    is verified inside the block.  A link that joins what the block's links have joined
+    already is not returned, so a block makes fewer rows than it reads.
+    """
+    rows = units.withColumn("stray", F.col("root") != F.col("main")).join(known, "class")
+    blocks = lambda rows, items: F.greatest(F.ceil(rows / BLOCK), F.ceil(items / ITEMS), F.lit(1)).cast("int")
+    strayed = F.when(F.col("stray"), F.col("n"))
+    sizes = rows.groupBy("main", "group").agg(blocks(F.count("*"), F.sum("n")).alias("_mb"), blocks(F.count(strayed), F.coalesce(F.sum(strayed), F.lit(0))).alias("_sb"))
+    rows = rows.join(sizes, ["main", "group"])
     place = lambda n: F.pmod(F.xxhash64("class", F.lit(3)), n).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    columns = ("group", "class", "root", "n", "cells", "stray")
+    key, columns = ("main", "group", "i", "j"), ("main", "group", "class", "root", "n", "cells", "items", "stray")
     members = rows.select(*columns, F.lit(False).alias("held"), place(F.col("_mb")).alias("i"), each(F.col("_sb")).alias("j"))
     strays = rows.where("stray").select(*columns, F.lit(True).alias("held"), each(F.col("_mb")).alias("i"), place(F.col("_sb")).alias("j"))
-    dealt = members.unionByName(strays).repartition("group", "i", "j").sortWithinPartitions("group", "i", "j")
+    dealt = members.unionByName(strays).repartition(*key).sortWithinPartitions(*key)
 
-    def block(t: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    def block(t: pa.RecordBatch) -> tuple[list[int], list[int]]:
         held = t["held"].to_numpy(zero_copy_only=False)
-        cls, root, n, stray, cells = t["class"].to_numpy(), t["root"].to_numpy(), t["n"].to_numpy(), t["stray"].to_numpy(zero_copy_only=False), _cells(t["cells"])
+        cls, n, stray, cells = t["class"].to_numpy(), t["n"].to_numpy(), t["stray"].to_numpy(zero_copy_only=False), _cells(t["cells"])
+        part = np.unique(t["root"].to_numpy(), return_inverse=True)[1]
+        items, bounds = t["items"].flatten().to_numpy().view(np.uint64), np.r_[0, np.cumsum(n)]
         member, a, b = np.flatnonzero(~held), [], []
         for k in np.flatnonzero(held).tolist():
-            other = member[(root[member] != root[k]) & (~stray[member] | (cls[member] > cls[k]))]
+            other = member[(part[member] != part[k]) & (~stray[member] | (cls[member] > cls[k]))]
             other = other[~_apart(n[k], cells[k], n[other], cells[other])] if len(other) else other
-            a.append(np.minimum(cls[k], cls[other]))
-            b.append(np.maximum(cls[k], cls[other]))
-        none = np.zeros(0, np.int64)
-        return np.concatenate([none, *a]), np.concatenate([none, *b])
+            if not len(other):
+                continue
+            own = items[bounds[k] : bounds[k + 1]]
+            theirs = np.concatenate([items[bounds[o] : bounds[o + 1]] for o in other.tolist()])
+            same = own[np.minimum(np.searchsorted(own, theirs), len(own) - 1)] == theirs
+            both = np.add.reduceat(same, np.r_[0, np.cumsum(n[other])[:-1]], dtype=np.int64)
+            for o in other[100 * both >= 75 * (n[k] + n[other] - both)].tolist():
+                if part[o] != part[k]:
+                    part[part == part[o]] = part[k]
+                    a.append(min(int(cls[k]), int(cls[o])))
+                    b.append(max(int(cls[k]), int(cls[o])))
+        return a, b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[pa.RecordBatch] = []
@@ -295,21 +330,20 @@ def _strays(groups: DataFrame, roots: DataFrame, classes: DataFrame) -> DataFram
         for t in batches:
             if not t.num_rows:
                 continue
-            key = np.stack([t[c].to_numpy() for c in ("group", "i", "j")])
-            edges = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1).tolist(), t.num_rows]
-            found = []
+            at = np.stack([t[c].to_numpy() for c in key])
+            edges = [0, *(np.flatnonzero((at[:, 1:] != at[:, :-1]).any(0)) + 1).tolist(), t.num_rows]
+            a, b = [], []
             for x, z in zip(edges[:-1], edges[1:]):
-                if rest and tuple(key[:, x]) != last:
-                    found.append(block(pa.concat_batches(rest)))
-                    rest = []
+                if rest and tuple(at[:, x]) != last:
+                    found = block(pa.concat_batches(rest))
+                    a, b, rest = a + found[0], b + found[1], []
                 rest.append(t.slice(x, z - x))
-                last = tuple(key[:, x])
-            if found:
-                a, b = (np.concatenate(y) for y in zip(*found))
-                yield pa.RecordBatch.from_pydict({"a": pa.array(a), "b": pa.array(b)})
+                last = tuple(at[:, x])
+            if a:
+                yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
         if rest:
             a, b = block(pa.concat_batches(rest))
-            yield pa.RecordBatch.from_pydict({"a": pa.array(a), "b": pa.array(b)})
+            yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return dealt.mapInArrow(W.lean(run), "a long, b long")
 
@@ -379,28 +413,29 @@ def join(docs: DataFrame) -> DataFrame:
     groups = scratch.write(_groups(prefixes), "groups")
     scratch.drop("prefixes")
 
-    def sets_of(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
-        wanted = wanted.join(classes, "class").select(F.col("first").alias("doc_id"))
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        wanted = wanted.select("class").distinct().join(classes, "class").select(F.col("first").alias("doc_id"))
         # A repeated row gives its set twice and a link twice; links are made distinct later.
         return _sets(docs.join(wanted, "doc_id", "left_semi"))
 
     stars = groups.where("class <> pivot").select(F.least("class", "pivot").alias("a"), F.greatest("class", "pivot").alias("b"))
     stars = scratch.write(_possible(stars, classes), "stars")
-    sets = scratch.write(sets_of(stars), "sets")
+    sets = scratch.write(sets_of(stars.select(F.explode(F.array("a", "b")).alias("class"))), "sets")
     links = scratch.write(links_between(stars, sets), "links")
     scratch.drop("sets")
     scratch.release()
     roots = components(links, scratch, "first")
 
-    rest = _strays(groups, roots, classes).distinct().join(stars.select("a", "b"), ["a", "b"], "left_anti")
-    rest = scratch.write(rest.join(classes.select(F.col("class").alias("a"), F.col("n").alias("na")), "a").join(classes.select(F.col("class").alias("b"), F.col("n").alias("nb")), "b"), "rest")
+    units = scratch.write(_units(groups, roots), "units")
     scratch.drop("groups")
-    if rest.take(1):
-        more = scratch.write(sets_of(rest), "more")
-        links = scratch.write(links.unionByName(links_between(rest, more)), "all")
+    if units.take(1):
+        more = scratch.write(sets_of(units), "more")
+        known = classes.select("class", "n", "cells").join(more.groupBy("class").agg(F.first("items").alias("items")), "class")
+        found = scratch.write(_strays(units, known), "found")
         scratch.drop("more")
-        roots = components(links, scratch, "second")
+        if found.take(1):
+            links = scratch.write(links.unionByName(found), "all")
+            roots = components(links, scratch, "second")
     named = roots.unionByName(roots.select(F.col("root").alias("node"), "root")).distinct()
     scratch.release()
     named = classes.join(named, classes["class"] == named["node"], "left").select("class", "first", F.coalesce("root", "class").alias("root"))

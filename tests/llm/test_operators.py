@@ -354,6 +354,27 @@ def test_jaccard_strays(spark, monkeypatch, block):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.join(table(spark, rows)).collect()} == want
 
 
+def test_jaccard_strays_make_few_rows(spark, monkeypatch):
+    """Pairs of one large group of near copies lie in many groups, and the rows they make follow the members, not the pairs."""
+    rng, rows, made, strays = random.Random(21), [], [], jaccard._strays
+
+    def counted(*given):
+        out = strays(*given)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "_strays", counted)
+    base = [f"s{k}" for k in range(150)]
+    for c in range(160):
+        own = list(base)
+        for k in rng.sample(range(150), rng.randrange(1, 8)):
+            own[k] = f"e{c % 40}.{k}"  # some copies have changes in common
+        rows.append((c, " ".join(own)))
+    want = linked(rows)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.join(table(spark, rows)).collect()} == want
+    assert made and made[0] < len(rows)
+
+
 def test_jaccard_tells_confusing_words_apart(spark):
     one, other = thue_morse(1024)
     rows = [(1, f"a b c d {one}"), (2, f"a b c d {other}"), (3, f"a b c d {one}"), (4, one), (5, other)]
