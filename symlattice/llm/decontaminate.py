@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 WINDOW = 8
 BLOCK = 400_000  # windows in one broadcast; about 300 bytes each
-SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"  # of lower-cased texts
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # in texts as they are, with their capitals
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -110,11 +111,11 @@ def clean(docs: DataFrame, benchmark: DataFrame, min_items: int = 2) -> DataFram
     """
     keep = tuple(c for c in docs.columns if c != "doc_id")
     rows = scan(docs, benchmark, keep=keep).where(F.size("items") < min_items)
-    old, word, hit = F.col("kept.text"), SEPARATORS.replace("[", "[^", 1), F.size("hits") > 0
-    said = F.regexp_extract_all(old, F.lit(f"({word})"), F.lit(1))
+    old, hit = F.col("kept.text"), F.size("hits") > 0
+    said = F.regexp_extract_all(old, F.lit(f"({WORD})"), F.lit(1))
     left = F.array_except(F.sequence(F.lit(1), F.size(said)), covered(F.col("hits")))
     # Exploded, so that the parts are made once for a row and not again for each word; the work follows the length of the text.
-    parts = F.explode(F.array(F.when(hit, F.struct(F.split(old, word, -1).alias("gaps"), said.alias("said"), left.alias("left")))))
+    parts = F.explode(F.array(F.when(hit, F.struct(F.split(old, WORD, -1).alias("gaps"), said.alias("said"), left.alias("left")))))
     rows = rows.select("doc_id", "kept", hit.alias("hit"), parts.alias("x"))
     gaps = lambda at, n: F.array_join(F.slice("x.gaps", at, n), "")
     before = lambda k: F.when(k == 0, F.lit(0)).otherwise(F.get("x.left", k - 1))

@@ -506,6 +506,26 @@ def test_decontamination(spark, corpus):
     assert decontaminate.report(table(spark, [(1, "a"), (1, "a")]), bench).count() == 2
 
 
+def test_decontamination_cuts_words_with_capitals(spark):
+    """Words of capitals alone count as words where a passage is cut out, and a text of nothing else does not end the task."""
+    rng = random.Random(10)
+    passage = "alpha beta gamma delta epsilon zeta eta theta iota"
+    rows = [(1, f"ONE TWO {passage.upper()} THREE"), (2, passage.upper()), (3, f"The USA is {passage.title()}, NATO's end"), (4, f"{passage.upper()}-ÉTÉ É"), (5, f"x {passage} Y")]
+    for i in range(6, 60):
+        said = [*(rng.choice(["A", "Bc", "dE", "f", "Ñ", "7", "G8"]) for _ in range(rng.randrange(6))), *passage.split(), *(rng.choice(["A", "Bc", "z"]) for _ in range(rng.randrange(6)))]
+        rows.append((i, "".join(rng.choice([str, str.upper, str.title])(w) + rng.choice([" ", ", ", "-"]) for w in said)))
+    want = {}
+    for i, t in rows:
+        found = list(re.finditer(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", t))
+        lower = ["".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in m[0]) for m in found]
+        at = next(k for k in range(len(lower)) if lower[k : k + 9] == passage.split())
+        for m in reversed(found[at : at + 9]):
+            t = t[: m.start()] + t[m.end() :]
+        want[i] = (t, len(t))
+    bench = spark.createDataFrame([(1, passage)], "item_id long, text string")
+    assert {r["doc_id"]: (r["text"], r["n_chars"]) for r in decontaminate.clean(table(spark, rows), bench).collect()} == want
+
+
 def test_decontamination_is_native(spark):
     bench = spark.createDataFrame([(1, "a b c d e f g h i")], "item_id long, text string")
     for df in (decontaminate.report(table(spark, [(1, "x")]), bench), shard.report(table(spark, [(1, "x")]))):
